@@ -9,10 +9,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_sent: set[str] = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Let Spark bring this package to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _sent:
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="spark-code-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _sent.add(app)
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,6 +52,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
+    send_code(df.sparkSession)
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,4 +60,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    send_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
