@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 OPERATORS = {
+    "op1_token_ids": "token_output",
+    "op4_decontamination": "decontamination",
     "op5_sharding": "sharding",
     "op6_mixing": "mixing",
 }
@@ -15,4 +17,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators that SQL can express."""
+    return {name: sql for name, module in OPERATORS.items() if (sql := getattr(importlib.import_module(f"folioflow.llm.{module}"), "SQL", None))}
