@@ -72,7 +72,7 @@ class Encoder:
     @staticmethod
     def _split(part: str) -> tuple[str, str]:
         """The part folded, and a stop or comma after its last letter."""
-        tail = part[-1] if part[-1] in ".," and part[-2:-1].isalpha() else ""
+        tail = part[-1] if part[-1] in ".," and part[-2:-1].isalpha() and part[-2] < "Ā" else ""
         stem = part[: len(part) - len(tail)]
         return (stem.lower() if stem.isalpha() and max(stem) < "Ā" else stem), tail
 
