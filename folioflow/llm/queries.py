@@ -9,6 +9,8 @@ OPERATORS = {
     "op4_decontamination": "decontamination",
     "op5_sharding": "sharding",
     "op6_mixing": "mixing",
+    "op7_near_dedup": "near_dedup",
+    "op8_vector_search": "vector_search",
 }
 
 
