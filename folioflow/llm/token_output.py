@@ -78,9 +78,6 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         known = self.known
-        if len(known) + len(parts) > REMEMBERED:
-            known.clear()
-            parts = parts | {".", ","}
         split = {p: self._split(p) for p in parts}
         new = list({s for pair in split.values() for s in pair if s and s not in known})
         for k in range(0, len(new), 4096):
@@ -100,7 +97,11 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        new = set().union(*group).difference(self.known)
+        every = set().union(*group)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = every
         if new:
             self.learn(new)
         get = self.known.__getitem__
