@@ -18,12 +18,12 @@ dictionary; further columns are not written.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -36,77 +36,90 @@ SAMPLE_IDS = 4096
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
-SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Words that a worker remembers.
-REMEMBERED = 400_000
+#: Words that a worker remembers, and bytes of text that it takes together.
+REMEMBERED = 900_000
+SLICE_BYTES = 16 << 20
 
 
 class Encoder:
-    """Ids of texts, as little-endian 32-bit integers.
+    """Ids of texts, as arrays of 32-bit integers.
 
     This vocabulary's library normalises and splits text at white space first, so the ids of a text are those of
-    its parts between spaces and line feeds; each distinct part is encoded by the library once and remembered.
-    A trailing stop or comma after a letter, and upper case of Latin-1 letters, are split off and folded as
-    the library does, so that fewer parts differ.
+    its parts between white space; each distinct part is encoded by the library once and remembered. A
+    trailing stop or comma after a letter, and upper case of Latin-1 letters, are split off and folded as the
+    library does, so that fewer parts differ. A word of lower-case Latin-1 letters goes to the library's model
+    at once: normaliser and splitter would leave it as it is.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> Iterator[bytes]:
-        for x in self.library.encode_batch_fast(parts, add_special_tokens=False):
-            yield np.array(x.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """str.split() takes four control characters for white space that the library does not."""
-        if SEPARATORS.search(text):
-            return [p for p in text.split(" ") if p]
-        return text.split()
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        self.as_bytes = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in letters}
+        self.plain = frozenset(letters)
 
     @staticmethod
     def _split(part: str) -> tuple[str, str]:
         """The part folded, and a stop or comma after its last letter."""
-        tail = part[-1] if part[-1] in ".," and part[-2:-1].isalpha() and part[-2] < "Ā" else ""
+        tail = part[-1] if part[-1:] in ".," and part[-2:-1].isalpha() and part[-2] < "Ā" else ""
         stem = part[: len(part) - len(tail)]
         return (stem.lower() if stem.isalpha() and max(stem) < "Ā" else stem), tail
 
-    def learn(self, parts: set[str]) -> None:
+    def _learn(self, stems: list[str]) -> None:
+        model, known = self.library.model, self.known
+        others = []
+        for s in stems:
+            if self.plain.issuperset(s):
+                known[s] = np.array([t.id for t in model.tokenize(s.translate(self.as_bytes))], "<u4").tobytes()
+            else:
+                others.append(s)
+        for k in range(0, len(others), 4096):
+            group = others[k : k + 4096]
+            for s, x in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                known[s] = np.array(x.ids, "<u4").tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
         known = self.known
-        split = {p: self._split(p) for p in parts}
-        new = list({s for pair in split.values() for s in pair if s and s not in known})
-        for k in range(0, len(new), 4096):
-            known.update(zip(new[k : k + 4096], self._encode(new[k : k + 4096]), strict=True))
-        for part, (stem, tail) in split.items():
-            known[part] = known[stem] + (known[tail] if tail else b"")
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """In groups of texts, so that new parts reach the library together."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self._parts(text or ""))
-            size += len(group[-1])
-            if size > 200_000:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        every = set().union(*group)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = every
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        for parts in group:
-            yield b"".join(map(get, parts))
+        if len(known) + len(parts) > REMEMBERED:
+            known.clear()
+        if missing := [p for p in parts if p not in known]:
+            split = {p: self._split(p) for p in missing}
+            stems = {s for s, _ in split.values()} | {".", ","}
+            self._learn([s for s in stems if s not in known])
+            tails = {"": b"", ".": known["."], ",": known[","]}
+            known.update((p, known[s] + tails[t]) for p, (s, t) in split.items())
+        return list(map(known.__getitem__, parts))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """In slices of some MB of text, so that parts and their ids are joined by arrays."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield from self._slice(texts.slice(at, end - at))
+            at = end
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ids = self._parts(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        every = np.frombuffer(b"".join(ids), "<u4")
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = codes[a:b]
+            n = length[own]
+            ends = np.cumsum(n)
+            yield every[np.repeat(first[own] - ends + n, n) + np.arange(ends[-1])] if len(own) else every[:0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,7 +140,7 @@ def vocabulary_path() -> str:
 
 def _sampled(batches: Iterator[pa.RecordBatch], path: str, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [np.frombuffer(x, "<u4")[:SAMPLE_IDS].astype(kind).tobytes() for x in encoder(path).encode(batch.column("text").to_pylist())]
+        ids = [x[:SAMPLE_IDS].astype(kind).tobytes() for x in encoder(path).encode(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
 
@@ -145,14 +158,13 @@ def train(docs: DataFrame, path: str, kind: str) -> bytes:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, kind: str, dictionary: bytes, end: int) -> Iterator[pa.RecordBatch]:
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
-    last = np.array([end], "<u4").tobytes()
     for batch in batches:
         n, crcs, frames = [], [], []
-        for ids in encoder(path).encode(batch.column("text").to_pylist()):
-            ids += last
-            n.append(len(ids) // 4)
-            crcs.append(zlib.crc32(ids))
-            frames.append(compressor.compress(np.frombuffer(ids, "<u4").astype(kind).tobytes()))
+        for ids in encoder(path).encode(batch.column("text")):
+            ids = np.append(ids, np.uint32(end)).astype("<u4")
+            n.append(len(ids))
+            crcs.append(zlib.crc32(ids.tobytes()))
+            frames.append(compressor.compress(ids.astype(kind).tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "frame"])
 
 
