@@ -7,10 +7,11 @@ r"""Near-duplicate documents by HyperMinHash, confirmed on whole shingle sets.
 3. ``BANDS`` bands of ``REGISTERS / BANDS`` registers are hashed to keys. Two sets with a Jaccard similarity of
    0.85 share none of them with a probability of about 2e-9.
 4. In each group of documents that share a key, all are compared with one leader, the document that meets
-   the most others in all groups. Then only documents of one group that are not yet connected are
-   compared with each other, so a large group of copies costs as many comparisons as it has members.
-5. A comparison drops pairs by the bound on their sizes and by the estimate from registers, corrected for chance
+   the most others in all groups, so a large group of copies costs as many comparisons as it has members.
+   Such a comparison drops pairs by the bound on their sizes and by the estimate from registers, corrected for chance
    collisions and with a margin of six standard deviations, and confirms the rest on the whole sets.
+5. Groups whose documents are still unconnected are joined into families. A family is cut into blocks of bounded
+   size, and every two blocks are compared exactly within a task; only links leave it.
 6. Components are found by joins (``graph.components``).
 
 Defined results: words are `[^\x20\x09-\x0D]+` with A-Z in lower case; a document of fewer words than a shingle is
@@ -140,6 +141,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), values], ["node", "hashes"])
 
 
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Columns of a matrix; shingles of a block from which a family is cut, up to so many blocks, and of a block at most.
+COLUMNS, SPREAD, BLOCKS, BLOCK = 4096, 16_000, 24, 500_000
+
 #: That two different values fall on one register: the chance of equal leading zeros, then of equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
 #: The estimate that is kept: six standard deviations below the threshold.
@@ -165,6 +170,58 @@ def confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame) -> DataFrame
     return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sum")).filter(f"100 * common >= {PERCENT} * (sum - common)").select("a", "b").distinct()
 
 
+def _compared(table: pa.Table) -> pa.Table:
+    """Links between the documents of two blocks, or within one; ``side`` is 0 or 1, or 2 for both.
+
+    Shingles that both sides have become columns of 0/1 matrices, whose product has the sizes of all intersections.
+    """
+    side = table.column("side").to_numpy()
+    sets = table.column("hashes").combine_chunks()
+    lengths = np.diff(sets.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return PAIRS.empty_table()
+    place = [np.full(len(lengths), -1), np.full(len(lengths), -1)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    used = np.ones(code.max() + 1, bool)
+    for p in place:
+        used &= np.bincount(code[p[owner] >= 0], minlength=len(used)) > 0
+    column = np.cumsum(used) - 1
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(used.sum()), COLUMNS):
+        here = used[code] & (column[code] >= at) & (column[code] < at + COLUMNS)
+        both = []
+        for p, rows in zip(place, (left, right), strict=True):
+            mine = here & (p[owner] >= 0)
+            m = np.zeros((len(rows), COLUMNS), np.float32)
+            m[p[owner[mine]], column[code[mine]] - at] = 1
+            both.append(m)
+        common += both[0] @ both[1].T
+    node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+    union = lengths[left][:, None] + lengths[right][None, :] - common
+    x, y = np.nonzero((100 * common >= PERCENT * union) & (part[left][:, None] != part[right][None, :]))
+    return pa.table([node[left[x]], node[right[y]]], PAIRS)
+
+
+def _within_families(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between documents that are not yet connected, among all that groups join into one family.
+
+    A family is cut into blocks of a bounded number of shingles, and every two blocks are compared in a task.
+    """
+    family = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    nodes = rest.select("node", "n_shingles", "part").distinct().join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
+    nodes = scratch.stage(nodes, "families")
+    count = F.greatest(F.least(F.ceil(F.sum("n_shingles") / SPREAD), F.lit(BLOCKS)), F.ceil(F.sum("n_shingles") / BLOCK), F.lit(1)).cast("int")
+    blocks = scratch.stage(nodes.groupBy("family").agg(count.alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("family", "blocks"), "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = nodes.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cut = cut.select("node", "part", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
+    return cut.join(sets, "node").groupBy("family", "x", "y").applyInArrow(_compared, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -193,15 +250,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.stage(links.unionByName(confirmed(tried, sketch, sets)), "confirmed")
 
     parts = components(links)
-    open_rows = groups.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    open_rows = scratch.stage(open_rows, "parts-of-groups")
-    open_keys = scratch.stage(open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key"), "open-keys")
-    rest = open_rows.join(open_keys, "key").select("key", "node", "n_shingles", "part")
-    other = rest.toDF("key", "node_", "n_", "part_")
-    close = f"part < part_ AND 100 * n_shingles >= {PERCENT} * n_ AND 100 * n_ >= {PERCENT} * n_shingles"
-    pairs = rest.join(other, "key").filter(close).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-    pairs = scratch.stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = scratch.stage(links.unionByName(confirmed(pairs, sketch, sets)), "all-links")
+    open_rows = scratch.stage(groups.join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part")), "parts-of-groups")
+    open_keys = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("key", "first")
+    rest = scratch.stage(open_rows.join(scratch.stage(open_keys, "open-keys"), "key").select("node", "n_shingles", "part", "first").distinct(), "open")
+    links = scratch.stage(links.unionByName(_within_families(rest, sets)), "all-links")
     parts = components(links)
 
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
