@@ -6,11 +6,13 @@ import importlib
 
 OPERATORS = {
     "op1_token_ids": "token_output",
+    "op3_toxicity": "toxicity",
     "op4_decontamination": "decontamination",
     "op5_sharding": "sharding",
     "op6_mixing": "mixing",
     "op7_near_dedup": "near_dedup",
     "op8_vector_search": "vector_search",
+    "op10_quality": "quality",
 }
 
 
