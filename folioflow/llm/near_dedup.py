@@ -4,8 +4,8 @@ r"""Near-duplicate documents by HyperMinHash, confirmed on whole shingle sets.
    bucket keeps its least value as a count of leading zeros and ``MANTISSA`` bits after the leading one. An
    empty bucket takes the register of the next one that isn't.
 2. Documents with the same set are one class, known by its least doc_id. Only class representatives go on.
-3. ``BANDS`` bands of ``REGISTERS / BANDS`` registers are hashed to keys. Two sets with a Jaccard similarity of
-   0.85 share none of them with a probability of about 2e-9.
+3. Bands of six registers are hashed to 42 keys. Two sets with a Jaccard similarity of 0.85 share none of them
+   with a probability of about 2e-9.
 4. In each group of documents that share a key, all are compared with one leader, the document that meets
    the most others in all groups, so a large group of copies costs as many comparisons as it has members.
    Such a comparison drops pairs by the bound on their sizes and by the estimate from registers, corrected for chance
@@ -23,6 +23,7 @@ kept; repeated rows and ties give the least doc_id; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioflow import scratch
 from folioflow.llm.graph import components
 
-SHINGLE = 3
-PERCENT = 85
 REGISTERS = 252
-BANDS = 42
 MANTISSA = 10
+
+
+@dataclass(frozen=True)
+class Measure:
+    """Words of a shingle, the least Jaccard similarity in percent, and registers of a band."""
+
+    shingle: int = 3
+    percent: int = 85
+    width: int = 6
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // self.width
+
+    @property
+    def least(self) -> float:
+        """The estimate that is kept: six standard deviations below the threshold."""
+        j = self.percent / 100
+        return j - 6 * (j * (1 - j) / REGISTERS) ** 0.5
+
+
+#: What a stage of a pipeline takes; with 0.8, no key is shared with a probability of about 2e-9.
+FIVE_WORDS = Measure(5, 80, 5)
+
+
 #: Rows that are hashed together.
 SLICE = 256
 
@@ -64,7 +87,7 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), offsets
 
 
-def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, shingle: int = 3) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words, bounds = _word_hashes(column)
     with np.errstate(over="ignore"):
@@ -93,30 +116,30 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return values[np.searchsorted(bucket[first], np.arange(REGISTERS)) % len(first)].astype(np.uint16)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
+def band_keys(sketches: np.ndarray, how: Measure) -> np.ndarray:
     """Keys of each row of registers, by band."""
-    rows = sketches.reshape(len(sketches), BANDS, -1).astype(np.uint64)
+    rows = sketches[:, : how.bands * how.width].reshape(len(sketches), how.bands, how.width).astype(np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
+        keys = np.broadcast_to(np.arange(1, how.bands + 1, dtype=np.uint64), rows.shape[:2])
         for k in range(rows.shape[2]):
             keys = _mix(keys * _M1 + rows[:, :, k])
     return keys.view(np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], how: Measure) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
             sizes, one, two, sketches, full = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for s in shingle_sets(part.column("text")):
+                for s in shingle_sets(part.column("text"), how.shingle):
                     sizes.append(len(s))
                     one.append(np.bitwise_xor.reduce(s) if len(s) else np.uint64(0))
                     two.append(np.add.reduce(_mix(s + _M1)) if len(s) else np.uint64(0))
                     full.append(len(s) > 0)
                     if len(s):
                         sketches.append(registers(s))
-            keys = iter(band_keys(np.array(sketches)).tolist()) if sketches else iter(())
+            keys = iter(band_keys(np.array(sketches), how).tolist()) if sketches else iter(())
             stored = iter(sketches)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -127,15 +150,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>, registers binary")
+def sketches(docs: DataFrame, how: Measure = Measure()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _sketched(it, how), "doc_id long, n_shingles long, set_one long, set_two long, bands array<long>, registers binary")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], how: Measure) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
+            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), how.shingle)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), values], ["node", "hashes"])
@@ -147,30 +170,28 @@ COLUMNS, SPREAD, BLOCKS, BLOCK = 4096, 16_000, 24, 500_000
 
 #: That two different values fall on one register: the chance of equal leading zeros, then of equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-#: The estimate that is kept: six standard deviations below the threshold.
-LEAST = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], how: Measure) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, REGISTERS) for c in ("x", "y"))
             alike = (x == y).mean(axis=1)
-            keep = (alike - COLLISION) / (1 - COLLISION) >= LEAST
+            keep = (alike - COLLISION) / (1 - COLLISION) >= how.least
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, how: Measure) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are as similar as asked."""
     small = sketch.select("node", "n_shingles", "registers")
-    sized = pairs.join(small.toDF("a", "na", "x"), "a").join(small.toDF("b", "nb", "y"), "b").filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    likely = scratch.stage(sized.select("a", "b", "x", "y").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    sized = pairs.join(small.toDF("a", "na", "x"), "a").join(small.toDF("b", "nb", "y"), "b").filter(f"100 * least(na, nb) >= {how.percent} * greatest(na, nb)")
+    likely = scratch.stage(sized.select("a", "b", "x", "y").mapInArrow(lambda it: _likely(it, how), "a long, b long").distinct(), "likely")
     both = likely.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sum")).filter(f"100 * common >= {PERCENT} * (sum - common)").select("a", "b").distinct()
+    return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sum")).filter(f"100 * common >= {how.percent} * (sum - common)").select("a", "b").distinct()
 
 
-def _compared(table: pa.Table) -> pa.Table:
+def _compared(table: pa.Table, how: Measure) -> pa.Table:
     """Links between the documents of two blocks, or within one; ``side`` is 0 or 1, or 2 for both.
 
     Shingles that both sides have become columns of 0/1 matrices, whose product has the sizes of all intersections.
@@ -201,11 +222,11 @@ def _compared(table: pa.Table) -> pa.Table:
         common += both[0] @ both[1].T
     node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
     union = lengths[left][:, None] + lengths[right][None, :] - common
-    x, y = np.nonzero((100 * common >= PERCENT * union) & (part[left][:, None] != part[right][None, :]))
+    x, y = np.nonzero((100 * common >= how.percent * union) & (part[left][:, None] != part[right][None, :]))
     return pa.table([node[left[x]], node[right[y]]], PAIRS)
 
 
-def _within_families(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _within_families(rest: DataFrame, sets: DataFrame, how: Measure) -> DataFrame:
     """Links between documents that are not yet connected, among all that groups join into one family.
 
     A family is cut into blocks of a bounded number of shingles, and every two blocks are compared in a task.
@@ -219,13 +240,13 @@ def _within_families(rest: DataFrame, sets: DataFrame) -> DataFrame:
     cut = nodes.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     cut = cut.select("node", "part", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
-    return cut.join(sets, "node").groupBy("family", "x", "y").applyInArrow(_compared, "a long, b long").distinct()
+    return cut.join(sets, "node").groupBy("family", "x", "y").applyInArrow(lambda t: _compared(t, how), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: Measure = Measure()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = scratch.stage(sketches(docs), "sketches")
+    every = scratch.stage(sketches(docs, how), "sketches")
     named = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same_set = ["set_one", "set_two", "n_shingles"]
     classes = scratch.stage(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
@@ -240,20 +261,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = scratch.stage(groups.groupBy("node").agg(F.sum("n").alias("met")), "met")
     sketch = scratch.stage(sketch.drop("bands", "set_one", "set_two").join(met, "node"), "met-sketches")
     sets = docs.withColumnRenamed("doc_id", "node").join(met.select("node").hint("shuffle_hash"), "node", "left_semi")
-    sets = scratch.stage(sets.mapInArrow(_sets, "node long, hashes array<long>"), "sets")
+    sets = scratch.stage(sets.mapInArrow(lambda it: _sets(it, how), "node long, hashes array<long>"), "sets")
 
     groups = scratch.stage(groups.join(sketch.select("node", "n_shingles", "met"), "node").distinct(), "sized-groups")
     leaders = scratch.stage(groups.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("leader"), F.col("m.met").alias("rank")), "leaders")
     stars = groups.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"), F.max("rank").alias("rank"))
     best = stars.groupBy("node").agg(F.max(F.struct("shared", "rank", (-F.col("leader")).alias("less"))).alias("m"))
     tried = scratch.stage(best.select(F.least("node", -F.col("m.less")).alias("a"), F.greatest("node", -F.col("m.less")).alias("b")).distinct(), "stars")
-    links = scratch.stage(links.unionByName(confirmed(tried, sketch, sets)), "confirmed")
+    links = scratch.stage(links.unionByName(confirmed(tried, sketch, sets, how)), "confirmed")
 
     parts = components(links)
     open_rows = scratch.stage(groups.join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part")), "parts-of-groups")
     open_keys = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("key", "first")
     rest = scratch.stage(open_rows.join(scratch.stage(open_keys, "open-keys"), "key").select("node", "n_shingles", "part", "first").distinct(), "open")
-    links = scratch.stage(links.unionByName(_within_families(rest, sets)), "all-links")
+    links = scratch.stage(links.unionByName(_within_families(rest, sets, how)), "all-links")
     parts = components(links)
 
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -267,9 +288,9 @@ def _same_id(members: DataFrame) -> DataFrame:
     return members.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, how: Measure = FIVE_WORDS) -> DataFrame:
     """``docs`` with one document of each component, and those without an id."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = near_duplicates(docs, how).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
 
 

@@ -12,6 +12,7 @@ OPERATORS = {
     "op6_mixing": "mixing",
     "op7_near_dedup": "near_dedup",
     "op8_vector_search": "vector_search",
+    "op9_personal_data": "personal_data",
     "op10_quality": "quality",
 }
 
