@@ -236,6 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bro
 
     key_ is a hash of the text, so that rows that share a doc_id stay apart.
     """
+    scratch.send_code(docs.sparkSession)
     windows = scratch.stage(windows_of(benchmark, size), "windows")
     keyed = docs.select(F.xxhash64("text").alias("key_"), F.col("doc_id").cast("string").alias("id_"), "text")
     took = windows.agg(F.sum(F.length("window") + F.length("item") + 32)).first()[0] or 0

@@ -2,7 +2,7 @@ r"""Near-duplicate documents by HyperMinHash, confirmed on whole shingle sets.
 
 1. Each document's distinct shingles are hashed to 64 bits. The upper bits choose one of ``REGISTERS`` buckets; a
    bucket keeps its least value as a count of leading zeros and ``MANTISSA`` bits after the leading one. An
-   empty bucket takes the register of the next one that isn't.
+   empty bucket takes the register of one that isn't, the first in an order of its own.
 2. Documents with the same set are one class, known by its least doc_id. Only class representatives go on.
 3. Bands of six registers are hashed to 42 keys. Two sets with a Jaccard similarity of 0.85 share none of them
    with a probability of about 2e-9.
@@ -64,6 +64,11 @@ FIVE_WORDS = Measure(5, 80, 5)
 #: Rows that are hashed together.
 SLICE = 256
 
+EVERY = np.arange(REGISTERS)
+#: For each bucket a fixed order of all: an empty one takes the register of the first that isn't, so that
+#: another value changes only those that prefer it.
+PREFERENCE = np.random.default_rng(7).permuted(np.tile(EVERY.astype(np.uint8), (REGISTERS, 1)), axis=1)
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -113,7 +118,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     mantissa, exponent = np.frexp((scaled[first] & np.uint64(0xFFFFFFFF)).astype(np.float64))
     values = ((32 - exponent) << MANTISSA) + ((mantissa - 0.5) * (2 << MANTISSA)).clip(0).astype(np.int64)
-    return values[np.searchsorted(bucket[first], np.arange(REGISTERS)) % len(first)].astype(np.uint16)
+    filled = bucket[first]
+    out = np.zeros(REGISTERS, np.uint16)
+    out[filled] = values
+    empty = np.setdiff1d(EVERY, filled, assume_unique=True)
+    if len(empty):
+        out[empty] = values[PREFERENCE[np.ix_(empty, filled)].argmin(axis=1)]
+    return out
 
 
 def band_keys(sketches: np.ndarray, how: Measure) -> np.ndarray:
@@ -245,6 +256,7 @@ def _within_families(rest: DataFrame, sets: DataFrame, how: Measure) -> DataFram
 
 def near_duplicates(docs: DataFrame, how: Measure = Measure()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
+    scratch.send_code(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = scratch.stage(sketches(docs, how), "sketches")
     named = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")

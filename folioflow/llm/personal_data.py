@@ -138,6 +138,7 @@ def confident(edges: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """``(doc_id, base, spans)`` for each row of ``docs``, both as sorted arrays of (kind, first, last)."""
+    scratch.send_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key_"), "text")
     found = scratch.stage(keyed.mapInArrow(_found, FOUND.format(kind)), "found")

@@ -129,6 +129,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:
     """Fitted on the statistics of at most ``most`` labelled rows that are not held out."""
+    scratch.send_code(docs.sparkSession)
     sample = labelled_sample(labels.filter(~is_held_out(mod=5, rest=0)), "quality", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label_").mapInArrow(_measured, "label_ int, stats array<double>").toArrow()
     y = rows.column("label_").to_numpy().astype(float)
@@ -146,6 +147,7 @@ def _scored(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Re
 
 def scores(docs: DataFrame, forest: Forest) -> DataFrame:
     """``(doc_id, score)`` for each row of ``docs``."""
+    scratch.send_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, forest), f"doc_id {kind}, score double")
 

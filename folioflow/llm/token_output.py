@@ -202,6 +202,7 @@ def _packed(batches: Iterator[pa.RecordBatch], sha: str) -> Iterator[pa.RecordBa
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
     """Write the dataset to ``path``, a folder of any file system that Spark writes to."""
+    scratch.send_code(docs.sparkSession)
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     kind = "<u2" if max(end, encoder(vocabulary).size - 1) < 1 << 16 else "<u4"

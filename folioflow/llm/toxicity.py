@@ -180,6 +180,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, key_, score)``; key_ is a hash of the text."""
+    scratch.send_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under 2 MB
     return docs.select("doc_id", F.xxhash64("text").alias("key_"), "text").mapInArrow(lambda it: _scored(it, sent.value), f"doc_id {kind}, key_ long, score double")

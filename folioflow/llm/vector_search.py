@@ -134,6 +134,7 @@ def _exact(batches: Iterator[pa.RecordBatch], low: np.ndarray, step: np.ndarray,
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; both inputs are ``(vec_id, v array<long>)``, ids distinct."""
+    scratch.send_code(vectors.sparkSession)
     spark = vectors.sparkSession
     seen = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     asked = queries.count()
