@@ -1,3 +1,3 @@
 """Queries over the input tables, by theme."""
 
-from folioflow.plans import audits, checks, progress  # noqa: F401
+from folioflow.plans import audits, checks, lines, progress, segments  # noqa: F401
