@@ -109,14 +109,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     records = scratch.stage(measured(docs), "records")
     copies = taken(records).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("alike_"))
     copies = copies.filter("copies_ > 0").withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (words() == F.col("size_"))
-    joined = docs.join(copies, same)
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "size_").orderBy(F.xxhash64("text")))
-    joined = joined.withColumn("nth_", F.when(F.col("alike_") > 1, F.lit(0)).otherwise(F.lit(1)))
-    single = joined.filter("alike_ = 1").withColumn("times_", F.col("copies_"))
-    several = joined.filter("alike_ > 1").withColumn("nth_", nth).withColumn("times_", F.floor((F.col("copies_") + F.col("alike_") - F.col("nth_")) / F.col("alike_")))
-    both = single.unionByName(several).filter("times_ > 0")
-    return both.withColumn("time_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int")))).select(*[F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("own"), words().alias("size"), F.xxhash64("text").alias("content"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("own").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
+    joined = rows.join(copies, same)
+    nth = F.row_number().over(W.partitionBy("id", "own", "size").orderBy("content"))
+    single = joined.filter("alike_ = 1").select("row", F.col("copies_").alias("times"))
+    several = joined.filter("alike_ > 1").select("row", F.floor((F.col("copies_") + F.col("alike_") - nth) / F.col("alike_")).alias("times"))
+    both = single.unionByName(several).filter("times > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:
     sample = labelled_sample(labels.filter(~is_held_out(mod=5, rest=0)), "quality", most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label_").mapInArrow(_measured, "label_ int, stats array<double>").toArrow()
     y = rows.column("label_").to_numpy().astype(float)
-    x = np.array(rows.column("stats").to_pylist(), float).reshape(len(y), -1)
+    x = np.array(rows.column("stats").to_pylist(), float).reshape(len(y), len(statistics("")))
     order = np.lexsort([*x.T, y]) if len(y) else []
     return fit(x[order], y[order])
 
