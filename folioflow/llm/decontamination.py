@@ -245,7 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bro
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of a benchmark item."""
-    bad = contamination(docs, benchmark).filter("n_hit > 0").select("key_", "id_").distinct()
+    bad = scratch.stage(contamination(docs, benchmark).filter("n_hit > 0").select("key_", "id_").distinct(), "contaminated")
     same = (F.xxhash64(docs["text"]) == bad["key_"]) & docs["doc_id"].cast("string").eqNullSafe(bad["id_"])
     return docs.join(bad, same, "left_anti")
 

@@ -108,15 +108,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     records = scratch.stage(measured(docs), "records")
     copies = taken(records).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("alike_"))
-    copies = copies.filter("copies_ > 0").withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"})
+    copies = scratch.stage(copies.filter("copies_ > 0").withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"}), "copies")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("own"), words().alias("size"), F.xxhash64("text").alias("content"))
     same = F.col("id").eqNullSafe(F.col("id_")) & F.col("own").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
-    joined = rows.join(copies, same)
-    nth = F.row_number().over(W.partitionBy("id", "own", "size").orderBy("content"))
-    single = joined.filter("alike_ = 1").select("row", F.col("copies_").alias("times"))
-    several = joined.filter("alike_ > 1").select("row", F.floor((F.col("copies_") + F.col("alike_") - nth) / F.col("alike_")).alias("times"))
-    both = single.unionByName(several).filter("times > 0")
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    times = rows.join(copies.filter("alike_ = 1"), same).select("row", F.col("copies_").alias("times"))
+    alike = copies.filter("alike_ > 1")
+    if alike.limit(1).count():
+        nth = F.row_number().over(W.partitionBy("id", "own", "size").orderBy("content"))
+        share = F.floor((F.col("copies_") + F.col("alike_") - nth) / F.col("alike_"))
+        times = times.unionByName(rows.join(alike, same).select("row", share.alias("times")))
+    return times.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,7 +302,7 @@ def _same_id(members: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, how: Measure = FIVE_WORDS) -> DataFrame:
     """``docs`` with one document of each component, and those without an id."""
-    gone = near_duplicates(docs, how).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct()
+    gone = scratch.stage(near_duplicates(docs, how).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_"], "left_anti")
 
 

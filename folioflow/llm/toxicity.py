@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose score reaches the threshold."""
     bad = scores(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("id_"), "key_").distinct()
+    bad = scratch.stage(bad, "toxic")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(docs["text"]) == bad["key_"]), "left_anti")
 
 
