@@ -6,6 +6,7 @@ import importlib
 
 OPERATORS = {
     "op1_token_ids": "token_output",
+    "op2_substring_dedup": "substring_dedup",
     "op3_toxicity": "toxicity",
     "op4_decontamination": "decontamination",
     "op5_sharding": "sharding",

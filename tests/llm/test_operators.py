@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import scratch
-from folioflow.llm import decontamination, mixing, near_dedup, personal_data, quality, sharding, token_output, toxicity, vector_search
+from folioflow.llm import decontamination, mixing, near_dedup, personal_data, quality, sharding, substring_dedup, token_output, toxicity, vector_search
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +118,41 @@ def test_decontamination(spark, texts, awkward, nothing):
     assert decontamination.contamination(awkward, benchmark.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_substring_dedup(spark, awkward, nothing, tmp_path):
+    rng = random.Random(6)
+    passage = " ".join(sentence(rng, 11).capitalize() + "." for _ in range(6))
+    line = "Short line. " * 3
+    more = [(500, f"{sentence(rng, 30)}. {passage} {sentence(rng, 30)}."), (501, f"{sentence(rng, 9)}.\n{passage.upper()}\n{sentence(rng, 30)}."), (502, f"{line}{sentence(rng, 40)}."), (503, f"{line}{sentence(rng, 40)}.")]
+    more += [(504, f"{passage} {sentence(rng, 5)}. {passage}"), (None, passage)]
+    table = awkward.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    rows = {(r.doc_id is not None, r.doc_id or 0): r.text for r in table.collect()}
+    seen, gone = set(), {}
+    for key in sorted(rows):
+        text = rows[key]
+        parts = [(k, text[a:b].lower().split()) for k, (a, b) in enumerate(substring_dedup.sentences(text))]
+        parts = [p for p in parts if p[1]]
+        for i in range(len(parts)):
+            for j in range(i + 2, len(parts) + 1):
+                if sum(len(p[1]) for p in parts[i:j]) >= 20:
+                    words = tuple(w for p in parts[i:j] for w in p[1])
+                    if words in seen:
+                        gone.setdefault(key, set()).update(range(parts[i][0], parts[j - 1][0] + 1))
+                    seen.add(words)
+                    break
+    got = substring_dedup.op2_substring_dedup(spark, save(table, tmp_path, "documents")).collect()
+    assert len(got) == table.count()
+    for r in got:
+        key = (r.doc_id is not None, r.doc_id or 0)
+        text, out = rows[key], gone.get(key, set())
+        kept = text if text is None else "".join(text[a:b] for k, (a, b) in enumerate(substring_dedup.sentences(text)) if k not in out)
+        assert (r.text, r.n_removed, r.repeated) == (kept, len(out), bool(out))
+    of = {r.doc_id: r for r in got}
+    assert of[None].text == passage and not of[502].repeated and not of[503].repeated
+    assert "wordless" not in of[500].text and of[500].n_removed == of[501].n_removed == 6 and of[504].n_removed >= 12
+    assert substring_dedup.op2_substring_dedup(spark, save(nothing, tmp_path / "none", "documents")).count() == 0
+    assert substring_dedup.deduplicated(awkward).columns == awkward.columns
+
+
 def test_sharding(spark, awkward, nothing, tmp_path):
     got = sharding.op5_sharding(spark, save(awkward, tmp_path, "documents")).collect()
     assert len(got) == awkward.count()
