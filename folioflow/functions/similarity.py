@@ -40,7 +40,11 @@ def ordered_coverage(expected, found) -> Column:
 
 def title_similarity(a: str | None, b: str | None) -> float:
     """0 if either folds to nothing, 1 if they fold alike, else the larger of token Jaccard and matching-block ratio."""
-    x, y = fold_title(a), fold_title(b)
+    return folded_similarity(fold_title(a), fold_title(b))
+
+
+def folded_similarity(x: str, y: str) -> float:
+    """``title_similarity`` of titles that are folded already."""
     if not x or not y:
         return 0.0
     if x == y:

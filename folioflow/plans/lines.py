@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from folioflow.catalog import query
 from folioflow.functions.similarity import coverage, jaccard, ordered_coverage, uppercase_share
 from folioflow.functions.text import normalised, search_text as search_form
-from folioflow.operators.linkage import best_match, one_to_one, scored_pairs
+from folioflow.operators.linkage import best_of_all, one_to_one_of_all
 from folioflow.operators.outline import outline
 from folioflow.scratch import table
 
@@ -147,21 +147,24 @@ def ordered_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = titles(spark, sf_dir).select((F.col("item_id") % 4).alias("block"), F.col("item_id").alias("a"), F.col("title").alias("a_title"))
-    right = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("block"), F.col("doc_id").alias("b"), F.substring("text", 1, 60).alias("b_title"), F.col("doc_id").alias("ord"))
+    """All titles and all openings, in one block; neither has labels or divisions."""
+    none = F.lit(None).cast("string")
+    left = titles(spark, sf_dir).select(F.lit(0).alias("block"), F.col("item_id").alias("a"), F.col("title").alias("a_title"), none.alias("a_label"), none.alias("a_part"))
+    right = table(spark, sf_dir, "documents").select(F.lit(0).alias("block"), F.col("doc_id").alias("b"), F.substring("text", 1, 60).alias("b_title"), F.col("doc_id").alias("ord"), none.alias("b_label"), none.alias("b_part"))
     return left, right
 
 
 @query("best_node_match")
 def best_node_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar opening of each title, within blocks."""
-    return best_match(scored_pairs(*_sides(spark, sf_dir), "block"), 0.4).select("a", "b", "score")
+    """The most similar opening of each title."""
+    left, right = _sides(spark, sf_dir)
+    return best_of_all(left.drop("a_label", "a_part"), right.drop("b_label", "b_part"), "block", 0.4).select("a", "b", "score")
 
 
 @query("chapter_match")
 def chapter_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles and openings one to one, within blocks."""
-    return one_to_one(scored_pairs(*_sides(spark, sf_dir), "block"), "block", 0.4).select("a", "b", "score")
+    """Titles and openings one to one, by the weighted score of chapters."""
+    return one_to_one_of_all(*_sides(spark, sf_dir), "block", 0.4).select("a", "b", "score")
 
 
 @query("toc_parse")

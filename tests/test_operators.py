@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.similarity import title_similarity
 from folioflow.operators import lifecycle, linkage, tables
 from folioflow.operators.progress import completion_estimate, words_per_day
 from folioflow.plans.checks import document_checks
@@ -67,6 +69,37 @@ def test_linkage(spark):
     assert [(r.a, r.b) for r in linkage.one_to_one(pairs, "block").collect()] == [(1, 11)]
 
 
+def test_linkage_sees_all_pairs(spark):
+    """Pairs that share no word, or only a folded or short one; assignment as a greedy pass over all pairs; weights of chapters."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4)))
+    some = lambda n: [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    x, y = ["Da criação", "Lei I", "xxabcdefgh", None, "", "Q" * 70, *some(40)], ["Da criacao", "Mundo I", "yyabcdefgh", None, "Capítulo", "q" * 69, *some(60)]
+    left = spark.createDataFrame([(0, k, t) for k, t in enumerate(x)], "block int, a int, a_title string")
+    right = spark.createDataFrame([(0, k, t, -k) for k, t in enumerate(y)], "block int, b int, b_title string, ord int")
+    for weighted in (False, True):
+        if weighted:
+            left, right = left.withColumns({"a_label": F.lit("I"), "a_part": F.when(F.col("a") % 2 == 0, "p")}), right.withColumns({"b_label": F.when(F.col("b") % 3 == 0, "I"), "b_part": F.lit(None).cast("string")})
+        every = []
+        for a, s in enumerate(x):
+            for b, t in enumerate(y):
+                title, label = title_similarity(s, t), float(b % 3 == 0)
+                every.append((-round(0.72 * title + 0.18 * label + 0.1 * (a % 2) if weighted else title, 6), -title, -label * weighted, a, -b, b))
+        taken_a, taken_b, best, greedy = set(), set(), {}, set()
+        for p in sorted(p for p in every if -p[0] >= 0.4):
+            best.setdefault(p[3], p[5])
+            if p[3] not in taken_a and p[5] not in taken_b:
+                taken_a.add(p[3])
+                taken_b.add(p[5])
+                greedy.add((p[3], p[5]))
+        pairs = linkage.scored_pairs(left, right, "block", 0.4)
+        assert {(r.a, r.b): r.score for r in pairs.collect()} == {(p[3], p[5]): -p[0] for p in every if -p[0] >= 0.4}
+        assert {(r.a, r.b) for r in linkage.one_to_one(pairs, "block", 0.4).collect()} == greedy
+        assert {(r.a, r.b) for r in linkage.one_to_one_of_all(left, right, "block", 0.4).collect()} == greedy
+        if not weighted:
+            assert {r.a: r.b for r in linkage.best_of_all(left, right, "block", 0.4).collect()} == best and (best[0], best[2]) == (0, 2)
+
+
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("a,\"b\"\nc", ["x", "y"], None)], "t string, l array<string>, n int")
     files.write_csv(rows, str(tmp_path / "c"), ["t", "l", "n"])
