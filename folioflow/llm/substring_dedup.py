@@ -1,16 +1,22 @@
 """Repeated passages by sliding sentence spans.
 
-A span is the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words from a sentence on; every sentence
-but the last few of a text starts one. Spans are hashed to 128 bits and grouped over all documents. The first
+A span is the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words from a sentence on, or up to a
+sentence. Of a longer run that repeats, each sentence is in one of these that stays inside it, so the runs
+of all lengths need no hashes. Spans are hashed to 128 bits and grouped over all documents. The first
 occurrence of a span is the one of the least doc_id and place; the sentences of all others are removed.
 
 Spans, and what is first of each, are written before they are joined, so that Spark can split a span that very many
 documents share; an occurrence is one narrow row.
 
-Defined results: sentences end with a stop, question or exclamation mark before white space, or at a line feed, and
-are compared by their words in lower case; a null text stays null, one of fewer words than a span stays as it is; rows alike
+A sentence of more than ``LONG`` words counts as several. It is cut, and so are its parts, before the word that has the
+least hash with its neighbour, until parts have fewer than ``WORDS`` words, and at least half as many, so that a
+passage is cut alike in most places. Of a passage within longer sentences, what is not between common cuts is kept.
+
+Defined results: sentences end with a stop, question or exclamation mark of any script before white space (those of Chinese
+and Japanese without), or at a line feed, and are compared by their words in lower case; each character of a script
+without spaces is a word; a null text stays null, one of fewer words than a span stays as it is; rows alike
 in doc_id and text are one document and get the same result; a null doc_id comes first; a passage of a single
-sentence is not a span; an empty table gives an empty result; further columns are kept.
+sentence of up to ``LONG`` words is not a span; an empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
@@ -25,30 +31,78 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioflow import scratch
 
 SENTENCES, WORDS = 2, 20
-END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
+LONG = 40
+ASCII_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
+#: Stops of Arabic, Urdu, Hindi, Armenian, Ethiopic, Burmese, Khmer and Tibetan; then those of Chinese and Japanese.
+END = re.compile(r"[.!?\u2026\u203c\u2047-\u2049\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u1368\u104a\u104b\u17d4\u17d5\u0f0d\u0f0e]+[\"')\]\u00bb\u201d\u2019]*\s+|[\u3002\uff01\uff1f\uff0e\uff61]+[\"')\]\u00bb\u201d\u2019\u300d\u300f\uff09]*\s*|\n\s*")
+#: Thai to Burmese, Khmer, kana, Chinese.
+SPACELESS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_SPACELESS = re.compile(f"[{SPACELESS}]")
+WORD = re.compile(rf"[{SPACELESS}]|[^\s{SPACELESS}]+")
+SPACED = re.compile(r"\S+")
+
+
+def _words(text: str) -> list[str]:
+    return text.split() if text.isascii() or not ANY_SPACELESS.search(text) else WORD.findall(text)
+
+
+def _inner_cuts(text: str, start: int, end: int) -> list[int]:
+    """Where a long sentence is cut."""
+    found = [(m.start(), m.group().lower().encode("utf-8", "replace")) for m in (WORD if ANY_SPACELESS.search(text, start, end) else SPACED).finditer(text, start, end)]
+    hashes = [0, *(xxhash.xxh3_64_intdigest(b"%b %b" % (v, w)) for (_, v), (_, w) in zip(found, found[1:], strict=False))]
+    cuts, todo, least = [], [(0, len(found))], WORDS // 2
+    while todo:
+        a, b = todo.pop()
+        if b - a >= WORDS:
+            some = hashes[a + least : b - least + 1]
+            cut = a + least + some.index(min(some))
+            cuts.append(found[cut][0])
+            todo += [(a, cut), (cut, b)]
+    return sorted(cuts)
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with the white space after it; they make up the text."""
-    cuts = [0, *(m.end() for m in END.finditer(text))] if text else [0]
+    """(start, end) of each sentence, or part of a long one, with the white space after it; they make up the text."""
+    plain = not text or text.isascii()
+    cuts = [0, *(m.end() for m in (ASCII_END if plain else END).finditer(text))] if text else [0]
     if text and cuts[-1] < len(text):
         cuts.append(len(text))
-    return list(zip(cuts, cuts[1:], strict=False))
+    least, out = (2 * LONG if plain else LONG), []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        inner = [a, *_inner_cuts(text, a, b), b] if b - a > least and len(_words(text[a:b])) > LONG else [a, b]
+        out += zip(inner, inner[1:], strict=False)
+    return out
 
 
 def spans(text: str | None) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, last sentence, hash) of each span; sentences without words don't count."""
-    parts = [(k, text[a:b].lower().split()) for k, (a, b) in enumerate(sentences(text))]
+    parts = [(k, _words(text[a:b].lower())) for k, (a, b) in enumerate(sentences(text))]
     parts = [(k, len(w), " ".join(w)) for k, w in parts if w]
-    end, words = 0, 0
-    for start in range(len(parts)):
-        while end < len(parts) and (end - start < SENTENCES or words < WORDS):
-            words += parts[end][1]
+    for start, end in _runs([p[1] for p in parts]):
+        yield parts[start][0], parts[end - 1][0], xxhash.xxh3_128_digest(" ".join(p[2] for p in parts[start:end]).encode())
+
+
+def _runs(counts: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest run from each sentence, and of the shortest up to each unless it is one of the first."""
+    n, end, words = len(counts), 0, 0
+    ends = []
+    for start in range(n):
+        while end < n and (end - start < SENTENCES or words < WORDS):
+            words += counts[end]
             end += 1
         if end - start < SENTENCES or words < WORDS:
-            return
-        yield parts[start][0], parts[end - 1][0], xxhash.xxh3_128_digest(" ".join(p[2] for p in parts[start:end]).encode())
-        words -= parts[start][1]
+            break
+        ends.append(end)
+        yield start, end
+        words -= counts[start]
+    start, words = 0, 0
+    for end in range(1, n + 1):
+        words += counts[end - 1]
+        while end - start > SENTENCES and words - counts[start] >= WORDS:
+            words -= counts[start]
+            start += 1
+        if end - start >= SENTENCES and words >= WORDS and ends[start] != end:
+            yield start, end
 
 
 def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

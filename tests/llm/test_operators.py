@@ -153,6 +153,35 @@ def test_substring_dedup(spark, awkward, nothing, tmp_path):
     assert substring_dedup.deduplicated(awkward).columns == awkward.columns
 
 
+def test_all_repeated_runs(spark, tmp_path):
+    """Runs of all lengths, by brute force; the end of a passage, long sentences, and scripts without full stops or spaces."""
+    rng = random.Random(8)
+    said = [sentence(rng, n).capitalize() + "." for n in (12, 12, 12, 12, 6)]
+    long, chinese = sentence(rng, 60), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(70))
+    hindi = "। ".join(sentence(rng, 11) for _ in range(5)) + "।"
+    han = "".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(12)) + "。" for _ in range(4))
+    texts = [" ".join(said), f"{sentence(rng, 15)}. {' '.join(said)} {sentence(rng, 9)}.", long, f"Once. {long}", chinese, chinese, hindi, hindi, han, f"{han}{chinese[:9]}", "no " * 90, "No " * 90]
+    texts += [f"{sentence(rng, 30)} {long} {sentence(rng, 30)}"]
+    pool = [sentence(rng, n).capitalize() + "." for n in (1, 3, 6, 9, 14, 19, 25)]
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    seen, gone = set(), []
+    for text in texts:
+        parts = [substring_dedup._words(text[a:b].lower()) for a, b in substring_dedup.sentences(text)]
+        out = set()
+        for i in range(len(parts)):
+            for j in range(i + 2, len(parts) + 1):
+                if len(words := tuple(w for p in parts[i:j] for w in p)) >= 20:
+                    out |= set(range(i, j)) if words in seen else set()
+                    seen.add(words)
+        gone.append(out)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.op2_substring_dedup(spark, save(table, tmp_path, "documents")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k].text == "".join(text[a:b] for n, (a, b) in enumerate(substring_dedup.sentences(text)) if n not in gone[k])
+    assert said[-1] not in got[1].text and got[3].text == "Once. " and not got[5].text and not got[7].text and not got[11].text
+    assert len(got[9].text) < 20 and got[12].n_removed > 1
+
+
 def test_sharding(spark, awkward, nothing, tmp_path):
     got = sharding.op5_sharding(spark, save(awkward, tmp_path, "documents")).collect()
     assert len(got) == awkward.count()
