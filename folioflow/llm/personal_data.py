@@ -5,8 +5,9 @@ as a number of digits that passes no check or a spelled-out address, are candida
 occurrence are lexical patterns: the word before, the two words before, and the word after. Patterns and
 instances make a graph, which Spark scores in rounds: a pattern's score for a kind is the sum of its instances'
 confidence in it over the number of all its instances plus ``DOUBT``; a candidate's confidence in a kind
-that its form allows is that at least one of its patterns is right. Candidates that end above ``SURE`` are
-added, wherever they occur; base spans always stay.
+that its form allows is that at least one of its patterns is right. A pattern counts once it has ``SUPPORT`` seeds or
+candidates above ``SURE``, so that what is found induces further patterns, until none is added. Candidates that end
+above ``SURE`` are added, wherever they occur; base spans always stay. Only the loose forms are candidates.
 
 Defined results: a null or empty text has no spans; rows that share doc_id and text have equal spans; spans are in
 the order of kinds, then of starts, in code points; counts are of base spans; an empty table
@@ -118,20 +119,26 @@ def confident(edges: DataFrame) -> DataFrame:
     """``(instance, kind)`` of the candidates that the graph is sure of.
 
     ``edges(pattern, instance, seed, kinds)`` are distinct. Each round is two grouped sums, one by pattern and one by instance.
+    Neither scores nor confidences fall from round to round, so that rounds end when no pattern and no sure instance is added.
     """
     patterns = scratch.stage(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")), "patterns")
     open_edges = edges.filter("seed IS NULL").select("pattern", "instance", F.explode("kinds").alias("kind")).distinct()
-    seeds = edges.filter("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count_distinct("instance").alias("seeds"))
-    seeds = scratch.stage(seeds.join(patterns, "pattern").filter(F.col("seeds") >= SUPPORT), "seeds")
-    open_edges = scratch.stage(open_edges.join(seeds.select("pattern", "kind"), ["pattern", "kind"], "left_semi"), "open-edges")
-    believed = None
-    for _ in range(ROUNDS):
-        scored = seeds.withColumn("more", F.lit(0.0)) if believed is None else seeds.join(
-            open_edges.join(believed, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("confidence").alias("more")), ["pattern", "kind"], "left"
-        ).fillna(0.0, ["more"])
+    strict = edges.filter("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count_distinct("instance").alias("seeds"))
+    believed, before, rounds = None, -1, 0
+    while True:
+        support = strict.withColumns({"more": F.lit(0.0), "sure": F.lit(0)})
+        if believed is not None:
+            held = open_edges.join(believed, ["instance", "kind"]).groupBy("pattern", "kind")
+            held = held.agg(F.sum("confidence").alias("more"), F.count_if(F.col("confidence") >= SURE).alias("sure"))
+            support = strict.join(held, ["pattern", "kind"], "full").fillna(0, ["seeds", "more", "sure"])
+        scored = support.filter(F.col("seeds") + F.col("sure") >= SUPPORT).join(patterns, "pattern")
         scored = scratch.stage(scored.select("pattern", "kind", ((F.col("seeds") + F.col("more")) / (F.col("size") + DOUBT)).alias("score")), "scored")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         believed = scratch.stage(open_edges.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - doubt).alias("confidence")), "believed")
+        known, rounds = (scored.count(), believed.filter(F.col("confidence") >= SURE).count()), rounds + 1
+        if rounds >= ROUNDS and known == before:
+            break
+        before = known
     best = believed.filter(F.col("confidence") >= SURE).groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("less"))).alias("m"))
     return best.select("instance", (-F.col("m.less")).cast("int").alias("kind"))
 

@@ -338,6 +338,15 @@ def test_personal_data(spark, awkward, nothing, tmp_path):
     assert personal_data.op9_personal_data(spark, save(nothing, tmp_path / "none", "documents")).count() == 0
 
 
+def test_personal_data_two_hops(spark, tmp_path):
+    """Numbers found beside seeds induce a pattern that no seed has; it finds another number."""
+    seeds = [(k, f"Please call our office at +1 (988) 555-{2400 + k} today") for k in range(12)]
+    found = [(20 + k, f"Please call our office at 988-555-{2500 + k} today. You may ring 988-555-{2500 + k} now") for k in range(10)]
+    table = spark.createDataFrame([*seeds, *found, (40, "You may ring 977-444-1234 now"), (41, "It weighs 977-444-9999 grams")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in personal_data.op9_personal_data(spark, save(table, tmp_path, "documents")).collect()}
+    assert spans[40] == "phone:13:25" and spans[41] == ""
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, tmp_path_factory):
     rng = random.Random(8)
