@@ -52,12 +52,47 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
+    return _written(df, fresh(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     send_code(df.sparkSession)
-    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Room:
+    """Staged tables of one piece of work, deleted together when nothing reads them any more.
+
+    What the work returns must be staged outside the room, or be in memory, when the room is left.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh(self.spark, name)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+    def __enter__(self) -> Room:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark writes to."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     send_code(spark)
