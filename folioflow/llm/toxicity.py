@@ -191,11 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return fit(sampled(docs, labels.filter(~is_held_out()), "toxic", most))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(model)
+    for batch in batches:
+        yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold."""
-    bad = scores(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("id_"), "key_").distinct()
-    bad = scratch.stage(bad, "toxic")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id_"]) & (F.xxhash64(docs["text"]) == bad["key_"]), "left_anti")
+    """``docs`` without those whose score reaches the threshold: one pass over whole rows, without a join."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # under 2 MB
+    return docs.mapInArrow(lambda it: _clean(it, sent.value, threshold), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
