@@ -9,9 +9,9 @@ in that order, come nearest to what is left.
 The keys of a source are cut into ranges of about the square root of all rows. Words are summed by
 range, then ranges by source, so no task gets a whole source however large its share.
 
-Defined results: size is the number of `[^\x20\x09-\x0D]+`, 0 for a null or empty text; a source without words
-has target 0; rows that are alike in doc_id, size and source may swap places, which gives the same
-rows; an empty table gives an empty result; ``mixed_documents`` keeps all columns of its input.
+Defined results: size is the number of `[^\x20\x09-\x0D]+`, 0 for a null or empty text; texts count whole, however
+long; a source without words has target 0; rows that are alike in doc_id, text and source may swap places, which gives
+the same rows; an empty table gives an empty result; ``mixed_documents`` keeps all columns of its input, of any names.
 """
 
 from __future__ import annotations
@@ -70,9 +70,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return known.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("level") * F.col("share")).alias("target"))
 
 
-def taken(records: DataFrame) -> DataFrame:
-    """``records(doc_id, source, size, weight)`` with source_size, target, copies and taken."""
-    spark = records.sparkSession
+ORDER = ["key", "doc_id", "size", "content"]
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """``records(doc_id, source, size, weight, content)`` with key, source_size, target, epochs and extra.
+
+    ``extra`` says whether a row is in the fraction: within a source, all rows up to one in ``ORDER`` are.
+    """
     sources = records.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sources = scratch.stage(sources, "sources")
     rows = sources.agg(F.sum("rows")).first()[0] or 0
@@ -84,40 +89,66 @@ def taken(records: DataFrame) -> DataFrame:
     group = ["named", "name", "range"]
     before = W.partitionBy("named", "name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ahead = keyed.groupBy(*group).agg(F.sum("size").alias("words")).select(*group, F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
-    within = W.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ahead, group)
+    within = W.partitionBy(*group).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    ordered = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ahead, group)
     aims = aims.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNotNull().alias("named"), "source_size", "target")
-    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(F.lit(0)).cast("int")
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     return (
-        placed.join(aims, ["named", "name"]).withColumn("epochs", epochs)
-        .withColumn("copies", (F.col("epochs") + F.when((F.col("epochs") < MOST) & (F.col("ahead") + F.col("before") + F.col("size") / 2 <= left), 1).otherwise(0)).cast("int"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("name", "named", "range", "key", "before", "ahead", "epochs")
+        ordered.join(aims, ["named", "name"]).withColumn("epochs", epochs)
+        .withColumn("extra", (F.col("epochs") < MOST) & (F.col("ahead") + F.col("before") + F.col("size") / 2 <= left))
+        .drop("name", "named", "range", "before", "ahead")
     )
 
 
+def taken(records: DataFrame) -> DataFrame:
+    """``records(doc_id, source, size, weight, content)`` with source_size, target, copies and taken."""
+    copies = F.col("epochs") + F.col("extra").cast("int")
+    return placed(records).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("key", "epochs", "extra")
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", words().alias("size"), quality_weight().alias("weight"))
+    return docs.select("doc_id", "source", words().alias("size"), quality_weight().alias("weight"), F.xxhash64("text").alias("content"))
+
+
+#: Sources whose cuts are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def cuts(records: DataFrame) -> DataFrame:
+    """``(source_, epochs, cut, alike, among)``, a row for each source.
+
+    ``cut`` is the last row of the fraction, null if there is none; of ``alike`` rows that equal it, ``among`` are in.
+    """
+    rows = scratch.stage(placed(records).select("source", "epochs", "extra", F.struct(*ORDER).alias("at")), "placed")
+    last = rows.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra"), F.col("at"))).alias("cut"))
+    last = scratch.stage(last.withColumnRenamed("source", "source_"), "last")
+    equal = rows.join(last, F.col("source").eqNullSafe(F.col("source_")) & (F.col("at") == F.col("cut"))).groupBy("source").agg(F.count("*").alias("alike"), F.count_if("extra").alias("among"))
+    equal = equal.withColumnRenamed("source", "name")
+    return last.join(equal, F.col("source_").eqNullSafe(F.col("name")), "left").drop("name")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
-    Rows that are alike in doc_id, source and size count as one document with as many copies as all of them got.
+    Texts are not shuffled: in each source one row cuts off the fraction, and rows are told by comparing with it. Only of
+    rows that equal that one in all but further columns, and of which a part is taken, each gets a number.
     """
     records = scratch.stage(measured(docs), "records")
-    copies = taken(records).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("alike_"))
-    copies = scratch.stage(copies.filter("copies_ > 0").withColumnsRenamed({"doc_id": "id_", "source": "source_", "size": "size_"}), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("own"), words().alias("size"), F.xxhash64("text").alias("content"))
-    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("own").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
-    times = rows.join(copies.filter("alike_ = 1"), same).select("row", F.col("copies_").alias("times"))
-    alike = copies.filter("alike_ > 1")
-    if alike.limit(1).count():
-        nth = F.row_number().over(W.partitionBy("id", "own", "size").orderBy("content"))
-        share = F.floor((F.col("copies_") + F.col("alike_") - nth) / F.col("alike_"))
-        times = times.unionByName(rows.join(alike, same).select("row", share.alias("times")))
-    return times.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    of = scratch.stage(cuts(records), "cuts")
+    if of.count() <= BROADCAST_SOURCES:
+        of = F.broadcast(of)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("source").alias("own"), words().alias("size"), quality_weight().alias("weight"), F.xxhash64("text").alias("content"))
+    rows = rows.select("row", "own", F.struct(exponential_key().alias("key"), "doc_id", "size", "content").alias("at"))
+    told = rows.join(of, F.col("own").eqNullSafe(F.col("source_")))
+    partly = F.coalesce((F.col("at") == F.col("cut")) & (F.col("among") < F.col("alike")), F.lit(False))
+    extra = F.coalesce(F.col("at") <= F.col("cut"), F.lit(False)).cast("int")
+    times = told.filter(~partly).select("row", (F.col("epochs") + extra).alias("times"))
+    if of.filter("among < alike").limit(1).count():
+        number = F.row_number().over(W.partitionBy("own").orderBy(F.lit(1)))
+        some = told.filter(partly).select("row", (F.col("epochs") + (number <= F.col("among")).cast("int")).alias("times"))
+        times = times.unionByName(some)
+    return times.filter("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
