@@ -2,7 +2,7 @@
 
 Each round is a few joins and grouped minima over the links, written to the shared folder; nothing goes to
 the driver but whether all links are stars. Minima are combined before the shuffle and written before they are
-joined, so that Spark can split a node with very many links.
+joined, so that Spark can split a node with very many links. The tables of a round are deleted after the next one.
 """
 
 from __future__ import annotations
@@ -15,14 +15,20 @@ from folioflow import scratch
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, component)`` for each linked node but the least of its component."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.stage(edges, "links")
+    last = scratch.Room(links.sparkSession)
+    edges = last.stage(edges, "links")
     while not _are_stars(edges):
+        room = scratch.Room(links.sparkSession)
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = scratch.stage(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo")), "least")
-        large = scratch.stage(both.filter("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct(), "large")
-        least = scratch.stage(large.groupBy("u").agg(F.min("v").alias("lo")), "least")
+        least = room.stage(both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo")), "least")
+        large = room.stage(both.filter("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct(), "large")
+        least = room.stage(large.groupBy("u").agg(F.min("v").alias("lo")), "least")
         small = large.join(least, "u").filter("v > lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-        edges = scratch.stage(small.unionByName(least.select("u", F.col("lo").alias("v"))).distinct(), "links")
+        after = scratch.Room(links.sparkSession)
+        edges = after.stage(small.unionByName(least.select("u", F.col("lo").alias("v"))).distinct(), "links")
+        room.clear()
+        last.clear()
+        last = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

@@ -10,11 +10,16 @@ r"""Near-duplicate documents by HyperMinHash, confirmed on whole shingle sets.
    the most others in all groups, so a large group of copies costs as many comparisons as it has members.
    Such a comparison drops pairs by the bound on their sizes and by the estimate from registers, corrected for chance
    collisions and with a margin of six standard deviations, and confirms the rest on the whole sets.
-5. Groups whose documents are still unconnected are joined into families. A family is cut into blocks of bounded
-   size, and every two blocks are compared exactly within a task; only links leave it.
+5. Documents of groups that are still unconnected are compared exactly. Of the shingles of each, rarest first, only a
+   prefix must be looked at: two sets with the similarity asked for share one of it. Documents that share one make
+   a family, so what is common to many documents joins none. A family is cut into blocks of bounded size, and every
+   two blocks are compared within a task; only links leave it.
 6. Components are found by joins (``graph.components``).
 
-Defined results: words are `[^\x20\x09-\x0D]+` with A-Z in lower case; a document of fewer words than a shingle is
+Texts are read twice, for sketches and for the sets of documents that share a key, and never shuffled: a bitmap of fixed
+size tells which documents those are (``membership``). Intermediate tables are deleted before the result is returned.
+
+Defined results: texts count whole, however long; columns of any names are carried by ``kept_documents``; words are `[^\x20\x09-\x0D]+` with A-Z in lower case; a document of fewer words than a shingle is
 one shingle; one without words, or null, has 0 shingles and is linked with nothing; rows with one doc_id
 are one document whose links are those of all its rows; a row without a doc_id has no component and is
 kept; repeated rows and ties give the least doc_id; an empty table gives an empty result.
@@ -32,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow import scratch
+from folioflow.llm import membership
 from folioflow.llm.graph import components
 
 REGISTERS = 252
@@ -176,8 +182,11 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Measure) -> Iterator[pa.Record
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Columns of a matrix; shingles of a block from which a family is cut, up to so many blocks, and of a block at most.
-COLUMNS, SPREAD, BLOCKS, BLOCK = 4096, 16_000, 24, 500_000
+#: Columns of a matrix; shingles of a block from which a family is cut, up to so many blocks; shingles and documents of a
+#: block at most.
+COLUMNS, SPREAD, BLOCKS, BLOCK, ROWS = 4096, 16_000, 24, 500_000, 2048
+#: Counters that tell how rare a shingle is, a fixed number; shingles that share one count together.
+COUNTERS = 1 << 20
 
 #: That two different values fall on one register: the chance of equal leading zeros, then of equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -192,11 +201,11 @@ def _likely(batches: Iterator[pa.RecordBatch], how: Measure) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, how: Measure) -> DataFrame:
+def confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are as similar as asked."""
     small = sketch.select("node", "n_shingles", "registers")
     sized = pairs.join(small.toDF("a", "na", "x"), "a").join(small.toDF("b", "nb", "y"), "b").filter(f"100 * least(na, nb) >= {how.percent} * greatest(na, nb)")
-    likely = scratch.stage(sized.select("a", "b", "x", "y").mapInArrow(lambda it: _likely(it, how), "a long, b long").distinct(), "likely")
+    likely = room.stage(sized.select("a", "b", "x", "y").mapInArrow(lambda it: _likely(it, how), "a long, b long").distinct(), "likely")
     both = likely.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sum")).filter(f"100 * common >= {how.percent} * (sum - common)").select("a", "b").distinct()
@@ -221,7 +230,7 @@ def _compared(table: pa.Table, how: Measure) -> pa.Table:
     for p in place:
         used &= np.bincount(code[p[owner] >= 0], minlength=len(used)) > 0
     column = np.cumsum(used) - 1
-    common = np.zeros((len(left), len(right)), np.float32)
+    common = np.zeros((len(left), len(right)), np.int64)
     for at in range(0, int(used.sum()), COLUMNS):
         here = used[code] & (column[code] >= at) & (column[code] < at + COLUMNS)
         both = []
@@ -230,23 +239,57 @@ def _compared(table: pa.Table, how: Measure) -> pa.Table:
             m = np.zeros((len(rows), COLUMNS), np.float32)
             m[p[owner[mine]], column[code[mine]] - at] = 1
             both.append(m)
-        common += both[0] @ both[1].T
+        common += (both[0] @ both[1].T).astype(np.int64)
     node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
     union = lengths[left][:, None] + lengths[right][None, :] - common
     x, y = np.nonzero((100 * common >= how.percent * union) & (part[left][:, None] != part[right][None, :]))
     return pa.table([node[left[x]], node[right[y]]], PAIRS)
 
 
-def _within_families(rest: DataFrame, sets: DataFrame, how: Measure) -> DataFrame:
-    """Links between documents that are not yet connected, among all that groups join into one family.
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of how many of its n shingles, in an order that all share, a set must show one to any set as similar as asked.
 
-    A family is cut into blocks of a bounded number of shingles, and every two blocks are compared in a task.
+    Such a pair has at least percent * n / 100 shingles in common, so that those cannot all lie behind the prefix.
     """
-    family = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    nodes = rest.select("node", "n_shingles", "part").distinct().join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
-    nodes = scratch.stage(nodes, "families")
-    count = F.greatest(F.least(F.ceil(F.sum("n_shingles") / SPREAD), F.lit(BLOCKS)), F.ceil(F.sum("n_shingles") / BLOCK), F.lit(1)).cast("int")
-    blocks = scratch.stage(nodes.groupBy("family").agg(count.alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("family", "blocks"), "blocks")
+    return n - (n * percent + 99) // 100 + 1
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], how: Measure, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, shingles = [], []
+        for node, own in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+            values = own.values.to_numpy()
+            order = np.lexsort((values, counts[values % COUNTERS]))
+            first = values[order[: prefix_length(len(values), how.percent)]]
+            nodes.append(np.full(len(first), node, np.int64))
+            shingles.append(first)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(shingles))], ["node", "shingle"])
+
+
+def _families(rest: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
+    """``(node, component)`` of ``rest(node, part)`` that share a rare shingle with a document of another part."""
+    slots = sets.select(F.explode("hashes").alias("h")).select(F.pmod("h", F.lit(COUNTERS)).alias("slot"))
+    counts = np.zeros(COUNTERS, np.int64)
+    seen = slots.groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # at most COUNTERS rows
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    sent = rest.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
+    found = room.stage(sets.mapInArrow(lambda it: _prefixes(it, how, sent.value), "node long, shingle long"), "prefixes").join(rest.select("node", "part"), "node")
+    found = room.stage(found, "prefix-parts")
+    shared = found.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("shingle", "first")
+    shared = room.stage(shared, "prefix-groups")
+    return components(found.join(shared, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
+
+
+def _within_families(rest: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
+    """Links between documents of ``rest(node, n_shingles, part)``, which are not yet connected."""
+    sets = room.stage(sets.join(rest.select("node"), "node", "left_semi"), "open-sets")
+    family = _families(rest, sets, how, room)
+    nodes = rest.join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
+    nodes = room.stage(nodes, "families")
+    size = F.sum("n_shingles")
+    count = F.greatest(F.least(F.ceil(size / SPREAD), F.lit(BLOCKS)), F.ceil(size / BLOCK), F.ceil(F.count("*") / ROWS), F.lit(1)).cast("int")
+    blocks = room.stage(nodes.groupBy("family").agg(count.alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("family", "blocks"), "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = nodes.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -256,37 +299,43 @@ def _within_families(rest: DataFrame, sets: DataFrame, how: Measure) -> DataFram
 
 def near_duplicates(docs: DataFrame, how: Measure = Measure()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
+    with scratch.Room(docs.sparkSession) as room:
+        return scratch.stage(_near_duplicates(docs, how, room), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
     scratch.send_code(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = scratch.stage(sketches(docs, how), "sketches")
+    every = room.stage(sketches(docs, how), "sketches")
     named = every.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same_set = ["set_one", "set_two", "n_shingles"]
-    classes = scratch.stage(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
-    members = scratch.stage(named.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "n_shingles", "rep"), "members")
+    classes = room.stage(named.groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
+    members = room.stage(named.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "n_shingles", "rep"), "members")
     links = _same_id(members)
 
     reps = members.filter("doc_id = rep").select("doc_id").distinct()
-    sketch = named.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
+    sketch = room.stage(named.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "rep-sketches")
     rows = sketch.select("node", F.explode("bands").alias("key"))
-    shared = scratch.stage(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "n"), "shared-keys")
-    groups = scratch.stage(rows.join(shared, "key"), "groups")
-    met = scratch.stage(groups.groupBy("node").agg(F.sum("n").alias("met")), "met")
-    sketch = scratch.stage(sketch.drop("bands", "set_one", "set_two").join(met, "node"), "met-sketches")
-    sets = docs.withColumnRenamed("doc_id", "node").join(met.select("node").hint("shuffle_hash"), "node", "left_semi")
-    sets = scratch.stage(sets.mapInArrow(lambda it: _sets(it, how), "node long, hashes array<long>"), "sets")
-
-    groups = scratch.stage(groups.join(sketch.select("node", "n_shingles", "met"), "node").distinct(), "sized-groups")
-    leaders = scratch.stage(groups.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("leader"), F.col("m.met").alias("rank")), "leaders")
+    shared = room.stage(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "n"), "shared-keys")
+    groups = room.stage(rows.join(shared, "key"), "groups")
+    met = room.stage(groups.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    sketch = room.stage(sketch.drop("bands", "set_one", "set_two").join(met, "node"), "met-sketches")
+    bits = room.stage(membership.bitmap(met, "node"), "met-bits")
+    likely = membership.marked(docs.withColumnRenamed("doc_id", "node"), "node", bits, "maybe").filter("maybe").select("node", "text")
+    sets = room.stage(likely.mapInArrow(lambda it: _sets(it, how), "node long, hashes array<long>"), "sets")
+
+    groups = room.stage(groups.join(sketch.select("node", "n_shingles", "met"), "node").distinct(), "sized-groups")
+    leaders = room.stage(groups.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("leader"), F.col("m.met").alias("rank")), "leaders")
     stars = groups.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("shared"), F.max("rank").alias("rank"))
     best = stars.groupBy("node").agg(F.max(F.struct("shared", "rank", (-F.col("leader")).alias("less"))).alias("m"))
-    tried = scratch.stage(best.select(F.least("node", -F.col("m.less")).alias("a"), F.greatest("node", -F.col("m.less")).alias("b")).distinct(), "stars")
-    links = scratch.stage(links.unionByName(confirmed(tried, sketch, sets, how)), "confirmed")
+    tried = room.stage(best.select(F.least("node", -F.col("m.less")).alias("a"), F.greatest("node", -F.col("m.less")).alias("b")).distinct(), "stars")
+    links = room.stage(links.unionByName(confirmed(tried, sketch, sets, how, room)), "confirmed")
 
     parts = components(links)
-    open_rows = scratch.stage(groups.join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part")), "parts-of-groups")
-    open_keys = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("key", "first")
-    rest = scratch.stage(open_rows.join(scratch.stage(open_keys, "open-keys"), "key").select("node", "n_shingles", "part", "first").distinct(), "open")
-    links = scratch.stage(links.unionByName(_within_families(rest, sets, how)), "all-links")
+    open_rows = room.stage(groups.join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part")), "parts-of-groups")
+    open_keys = open_rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    rest = room.stage(open_rows.join(room.stage(open_keys, "open-keys"), "key").select("node", "n_shingles", "part").distinct(), "open")
+    links = room.stage(links.unionByName(_within_families(rest, sets, how, room)), "all-links")
     parts = components(links)
 
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -303,7 +352,7 @@ def _same_id(members: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, how: Measure = FIVE_WORDS) -> DataFrame:
     """``docs`` with one document of each component, and those without an id."""
     gone = scratch.stage(near_duplicates(docs, how).filter("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_"], "left_anti")
+    return membership.without(docs, F.col("doc_id").cast("long"), gone)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
