@@ -7,11 +7,13 @@ in the window and the window's length say which words of the document to compare
 the length bound), and those words must equal the whole window.
 
 The windows are broadcast if they take at most ``BROADCAST_BYTES``, which is measured first. Beyond that, prefix
-shingles are joined by a shuffle and each document is verified against its own candidates.
+shingles are joined by a shuffle and each document is verified against its own candidates. Both ways give the same rows.
 
 Defined results: words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` with A-Z in lower case; a null or empty text has no
 words, no hits and no items; an item without words, or without an id, has no windows; items and windows that
-occur twice count once; repeated documents each get their row; an empty benchmark hits nothing.
+occur twice count once; repeated documents each get their row; an empty benchmark hits nothing, and an empty table of
+documents gives an empty result; texts are taken whole, however long; other columns, of any names, don't matter and
+are carried by ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow import scratch
+from folioflow.llm import membership
 
 WINDOW = 10
 #: Words of a shingle; a shorter item is one shingle.
@@ -151,8 +154,8 @@ def _counts(docs: DataFrame, wanted: dict[int, set[bytes]]) -> DataFrame:
     return docs.select("text").mapInArrow(lambda it: _count(it, wanted), "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _by_broadcast(keyed: DataFrame, windows: DataFrame) -> DataFrame:
-    spark = keyed.sparkSession
+def _sent_index(docs: DataFrame, windows: DataFrame) -> Callable[[], Index]:
+    """The windows with their prefixes, broadcast; what is returned loads them in a task."""
     items: dict[bytes, list[str]] = {}
     for r in windows.select("window", "item").collect():  # measured: at most BROADCAST_BYTES
         items.setdefault(bytes(r.window), []).append(r.item)
@@ -160,16 +163,26 @@ def _by_broadcast(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     for window in items:
         for _, s in _shingles(window):
             wanted.setdefault(s.count(b" ") + 1, set()).add(s)
-    counts = {bytes(r.shingle): r.n for r in _counts(keyed, wanted).collect()}  # shingles of those windows
-    sent = spark.sparkContext.broadcast(pickle.dumps(Index(items, counts)))
+    counts = {bytes(r.shingle): r.n for r in _counts(docs, wanted).collect()}  # shingles of those windows
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Index(items, counts)))
     loaded: dict[str, Index] = {}
 
-    def scan(batches):
+    def load() -> Index:
         if not loaded:
             loaded["index"] = pickle.loads(sent.value)
-        yield from _scan(batches, loaded["index"])
+        return loaded["index"]
+
+    return load
+
+
+def _by_broadcast(keyed: DataFrame, windows: DataFrame) -> DataFrame:
+    load = _sent_index(keyed, windows)
+    return keyed.mapInArrow(lambda it: _scan(it, load()), f"key_ long, id_ string, {OUT}")
 
-    return keyed.mapInArrow(scan, f"key_ long, id_ string, {OUT}")
+
+def _uncontaminated(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([next(index.find(split_words(t)), None) is None for t in _texts(batch)], pa.bool_()))
 
 
 def _hash(x: bytes) -> int:
@@ -231,23 +244,39 @@ def _by_shuffle(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     return out.select("key_", "id_", "n_words", "n_hit", F.coalesce("found", F.array().cast("array<string>")).alias("items"), "spans")
 
 
+def _measured(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+    """The windows, and whether they are small enough to be broadcast."""
+    scratch.send_code(docs.sparkSession)
+    windows = scratch.stage(windows_of(benchmark, size), "windows")
+    took = windows.agg(F.sum(F.length("window") + F.length("item") + 32)).first()[0] or 0
+    return windows, took <= broadcast_bytes
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("text").alias("key_"), F.col("doc_id").cast("string").alias("id_"), "text")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(id_, n_words, n_hit, items, spans)`` for each row of ``docs``; id_ is the doc_id as text.
 
     key_ is a hash of the text, so that rows that share a doc_id stay apart.
     """
-    scratch.send_code(docs.sparkSession)
-    windows = scratch.stage(windows_of(benchmark, size), "windows")
-    keyed = docs.select(F.xxhash64("text").alias("key_"), F.col("doc_id").cast("string").alias("id_"), "text")
-    took = windows.agg(F.sum(F.length("window") + F.length("item") + 32)).first()[0] or 0
-    return _by_broadcast(keyed, windows) if took <= broadcast_bytes else _by_shuffle(keyed, windows)
+    windows, small = _measured(docs, benchmark, size, broadcast_bytes)
+    return _by_broadcast(_keyed(docs), windows) if small else _by_shuffle(_keyed(docs), windows)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a window of a benchmark item."""
-    bad = scratch.stage(contamination(docs, benchmark).filter("n_hit > 0").select("key_", "id_").distinct(), "contaminated")
-    same = (F.xxhash64(docs["text"]) == bad["key_"]) & docs["doc_id"].cast("string").eqNullSafe(bad["id_"])
-    return docs.join(bad, same, "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without those that hold a window of a benchmark item: one pass over whole rows, without a join.
+
+    Only with windows beyond ``broadcast_bytes``, documents are told apart by a list of contaminated ones.
+    """
+    windows, small = _measured(docs, benchmark, WINDOW, broadcast_bytes)
+    if small:
+        load = _sent_index(docs, windows)
+        return docs.mapInArrow(lambda it: _uncontaminated(it, load()), docs.schema)
+    same = F.xxhash64(F.xxhash64("text"), F.col("doc_id").cast("string"))
+    gone = _by_shuffle(_keyed(docs), windows).filter("n_hit > 0").select(F.xxhash64("key_", "id_").alias("gone_")).distinct()
+    return membership.without(docs, same, scratch.stage(gone, "contaminated"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
