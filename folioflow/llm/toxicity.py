@@ -1,43 +1,54 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled documents. Both hold the same ordinary
-text; the toxic one also has what was trained on toxic text after subtraction of the words of ordinary
-documents, and the ordinary one has a blank of that length, so that they differ in nothing else. A
-document is cut into windows of ``WINDOW`` words, each of which is compressed with both. The bytes that the toxic
-dictionary saves, largest first, are the features of a logistic model, which is calibrated on sampled
-documents that the dictionaries were not trained on.
+Two zstandard dictionaries of one length are trained on a bounded sample of labelled documents. Both hold what was
+trained on windows of ordinary text; the toxic one also has what was trained on toxic text, of which only words are left
+whose rate among toxic documents differs from that among ordinary ones (``CONTRAST``), and the ordinary one has a blank
+of that length, so that they differ in nothing else. A document is cut into windows of ``WINDOW`` words, each of which is
+compressed with both. The bytes that the toxic dictionary saves, largest first, are the features of a logistic model,
+which is calibrated on sampled documents that the dictionaries were not trained on.
+
+Rates, not presence, choose words, so that some wrong labels or quotations don't make a toxic word worthless.
 
 Windows are compressed by the fast strategy without entropy coding of literals, so that a word that only one
 dictionary knows shows in whole bytes, and behind a phrase that both know, so that none is stored raw.
 
-Sample: at most ``SAMPLE`` labelled rows, by a hash of the doc_id. All documents are scored over their whole text.
+Sample: at most ``SAMPLE`` labelled rows, by a hash of the doc_id, of which texts that are alike count once. Their whole
+texts are measured in tasks; what goes to the driver are at most ``CHOSEN`` words, one window of each of ``WINDOWS``
+ordinary documents, the chosen words of each toxic one, and the features of those for calibration. All documents
+are scored over their whole text.
 
 Defined results: a null or empty text has no windows and the score of a text without savings; labels that
 are null, or of no document, are not used; a doc_id with several labels is used with each; without
 toxic or without ordinary training rows the score is the share of toxic ones, 0 without any; repeated
-rows have equal scores.
+rows have equal scores; a text of any length is scored whole; an empty table gives an empty result; further columns, of any
+names, don't matter and are carried by ``clean_documents``.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow import scratch
+from folioflow.llm.decontamination import split_words
 
 WINDOW = 8
 SAMPLE = 20_000
-#: Characters of a sampled text that are trained on.
-SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
+#: Ordinary text to train on for each byte of dictionary, at least, so that it holds what texts share and no text whole.
+SAMPLES_PER_BYTE = 8
+#: Ordinary windows to train on, their words, and toxic words to train on, at most.
+WINDOWS, LONG_WINDOW, CHOSEN = 8000, 64, 5000
+#: A word is chosen if the standard score of the difference of its rates is so high, and so much of the highest one.
+LEAST_SCORE, CONTRAST = 4.0, 0.25
 #: Blank bytes in front of a dictionary: they make its hash table sparse, so that entries don't displace each other.
 BLANK = 3 * 170_000
 #: A trained dictionary's content follows its three first offsets, 1, 4 and 8.
@@ -46,7 +57,7 @@ BEST = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+    return split_words(text.encode("utf-8", "replace")) if text else []
 
 
 @dataclass
@@ -82,10 +93,10 @@ class Scorer:
         return [len(ordinary(w)) - len(toxic(w)) for w in windows]
 
     def features(self, text: str | None) -> list[float]:
-        """The largest savings, and the logarithm of the number of windows."""
+        """The largest savings, the logarithm of the number of windows, and the mean."""
         savings = self.savings(text)
         best = (sorted(savings, reverse=True)[:BEST] + [0] * BEST)[:BEST]
-        return [1.0, *(max(0.0, float(x)) for x in best), float(np.log1p(len(savings)))]
+        return [1.0, *map(float, best), float(np.log1p(len(savings))), sum(savings) / max(1, len(savings))]
 
     def score(self, text: str | None) -> float:
         if self.model.constant is not None:
@@ -115,38 +126,80 @@ def _content(samples: list[bytes], size: int, **how) -> tuple[bytes, bytes]:
         return b"", b"".join(samples)[:size]
 
 
-def _apart(texts: list[str]) -> list[str]:
-    """One of those that begin or end alike, so that copies of a document don't count as many."""
-    seen: set[str] = set()
-    kept = []
-    for t in sorted(set(texts)):
-        ends = {"<" + t[:60], ">" + t[-60:]}
-        if not ends & seen:
-            kept.append(t)
-        seen |= ends
-    return kept
-
-
-def fit(rows: list[tuple[str, int, int]]) -> Model:
-    """``rows``: (text, label, hash). A third, by the hash, is for calibration only."""
-    share = float(np.mean([r[1] for r in rows])) if rows else 0.0
-    train, hold = [r for r in rows if r[2] % 3], [r for r in rows if r[2] % 3 == 0]
-    toxic, ordinary = (_apart([r[0] for r in train if r[1] == k]) for k in (1, 0))
-    if not toxic or not ordinary or len({r[1] for r in hold}) < 2:
-        return Model(b"", b"", b"", [], share)
-    known = {w for t in ordinary for w in words_of(t)}
-    spread = Counter(w for t in toxic for w in set(words_of(t)))
-    need = max(2, len(toxic) // 40)
-    left = [b" %b " % b" ".join(own) for t in toxic if (own := [w for w in words_of(t) if spread[w] >= need and w not in known])]
-    windows = [b" %b " % b" ".join(w[i : i + 8 * WINDOW]) for t in ordinary[:3000] for w in [words_of(t)] for i in range(0, len(w), 8 * WINDOW)]
-    header, base = _content(windows, ORDINARY_BYTES)
-    _, own = _content(left, TOXIC_BYTES, k=24, d=6) if left else (b"", b"")
+def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> Model:
+    """From ordinary windows and from the chosen words of toxic documents, both in no order of content, as the trainer looks
+    at the first part only; without weights."""
+    header, base = _content(ordinary, min(ORDINARY_BYTES, max(1024, sum(map(len, ordinary)) // SAMPLES_PER_BYTE)))
+    _, own = _content(toxic, TOXIC_BYTES, k=24, d=6) if toxic else (b"", b"")
     own += b"\0" * (-len(own) % 3)
     front = header + b"\0" * BLANK + base
-    model = Model(front + b"\0" * len(own), front + own, base[-48:], [])
+    return Model(front + b"\0" * len(own), front + own, base[-48:], [])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of each label a word is, by batch."""
+    for batch in batches:
+        seen = (Counter(), Counter())
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label_").to_pylist(), strict=True):
+            seen[label].update(set(words_of(text)))
+        every = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in seen)], ["word", "ordinary", "toxic"])
+
+
+def contrasting_words(rows: DataFrame) -> set[bytes]:
+    """Words of ``rows(text, label_)`` that are in a larger share of toxic documents."""
+    sizes = {r["label_"]: r["count"] for r in rows.groupBy("label_").count().collect()}
+    m, n = float(sizes[0]), float(sizes[1])
+    counts = rows.mapInArrow(_spread, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    share = (F.col("ordinary") + F.col("toxic")) / (n + m)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n + 1 / m))
+    scored = counts.filter("toxic > 1").select("word", ((F.col("toxic") / n - F.col("ordinary") / m) / spread).alias("score"))
+    best = scored.filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(CHOSEN).collect()
+    return {bytes(r.word) for r in best if r.score >= CONTRAST * best[0].score}
+
+
+def _training(batches: Iterator[pa.RecordBatch], chosen: set[bytes]) -> Iterator[pa.RecordBatch]:
+    """Of an ordinary document the window with the least hash, of a toxic one its chosen words."""
+    for batch in batches:
+        hashes, windows, labels = [], [], []
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label_").to_pylist(), strict=True):
+            words = words_of(text)
+            if label:
+                own = [(0, list(dict.fromkeys(w for w in words if w in chosen)))]
+            else:
+                own = [(xxhash.xxh64_intdigest(b" ".join(w)) >> 1, w) for i in range(0, len(words), LONG_WINDOW) for w in [words[i : i + LONG_WINDOW]]]
+            for h, w in [min(own)] if own and own[0][1] else []:
+                hashes.append(h)
+                windows.append(b" %b " % b" ".join(w))
+                labels.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(windows, pa.binary()), pa.array(labels, pa.int32())], ["hash", "window", "label_"])
+
+
+def _featured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    x, y = np.array([scorer.features(r[0]) for r in hold]), np.array([r[1] for r in hold], float)
-    model.weights = _logistic(x, y).tolist()
+    for batch in batches:
+        found = [scorer.features(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("label_"), pa.array(found, pa.list_(pa.float64()))], ["label_", "features"])
+
+
+def fit(rows: DataFrame) -> Model:
+    """``rows(text, label_)``, each text once; a third, by a hash of the text, is for calibration only."""
+    fold = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(3))
+    train, hold = rows.filter(fold != 0), rows.filter(fold == 0)
+    seen = {(r["held"], r["label_"]): r["count"] for r in rows.groupBy((fold == 0).alias("held"), "label_").count().collect()}
+    if len(seen) < 4:
+        return Model(b"", b"", b"", [], sum(n for (_, y), n in seen.items() if y) / max(1, sum(seen.values())))
+    chosen = contrasting_words(train)
+    samples = train.mapInArrow(lambda it: _training(it, chosen), "hash long, window binary, label_ int")
+    ordinary = [bytes(r.window) for r in samples.filter("label_ = 0").orderBy("hash", "window").limit(WINDOWS).collect()]
+    toxic = sorted((bytes(r.window) for r in samples.filter("label_ = 1").collect()), key=xxhash.xxh64_intdigest)
+    model = dictionaries(ordinary, toxic)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    found = hold.mapInArrow(lambda it: _featured(it, sent.value), "label_ int, features array<double>").toArrow()
+    y = found.column("label_").to_numpy().astype(float)
+    x = np.array(found.column("features").to_pylist(), float)
+    order = np.lexsort([*x.T, y])
+    model.weights = _logistic(x[order], y[order]).tolist()
     return model
 
 
@@ -162,14 +215,6 @@ def labelled_sample(labels: DataFrame, label: str, most: int = SAMPLE) -> DataFr
     return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int, int]]:
-    """The sample as (text, label, hash), for the driver to fit on; of a text at most ``chars`` characters."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, label, most)), "doc_id")
-    rows = rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "label_")
-    found = [(r.text, r.label_, zlib.crc32(f"{r.doc_id}/".encode())) for r in rows.toLocalIterator()]
-    return sorted(found, key=lambda r: (r[2], r[1], r[0]))
-
-
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
@@ -188,7 +233,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fitted on labelled rows that are not held out."""
-    return fit(sampled(docs, labels.filter(~is_held_out()), "toxic", most))
+    scratch.send_code(docs.sparkSession)
+    sample = labelled_sample(labels.filter(~is_held_out()), "toxic", most).filter("label_ IN (0, 1)")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label_")
+    with scratch.Room(docs.sparkSession) as room:
+        return fit(room.stage(rows.dropDuplicates(["text", "label_"]), "labelled"))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
