@@ -12,12 +12,13 @@ doc_id, with at most ``SAMPLE_IDS`` ids of each; it affects sizes only, never id
 
 Defined results: a null or empty text has the end id only; a null doc_id sorts first; rows that share a
 doc_id are in order of their checksum and length; an empty table gives an empty dataset with an empty
-dictionary; further columns are not written.
+dictionary; texts are taken whole, however long; further columns, of any names, are not written.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
 #: Words that a worker remembers, and bytes of text that it takes together.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 SLICE_BYTES = 16 << 20
 
 
@@ -48,12 +49,16 @@ class Encoder:
     its parts between white space; each distinct part is encoded by the library once and remembered. A
     trailing stop or comma after a letter, and upper case of Latin-1 letters, are split off and folded as the
     library does, so that fewer parts differ. A word of lower-case Latin-1 letters goes to the library's model
-    at once: normaliser and splitter would leave it as it is.
+    at once: normaliser and splitter would leave it as it is. A text that holds an added token of the vocabulary, which the
+    library finds before it splits, goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.whole = Tokenizer.from_file(path)
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = "|".join(re.escape(c) for c in added)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
@@ -115,7 +120,11 @@ class Encoder:
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(length) - length
         every = np.frombuffer(b"".join(ids), "<u4")
-        for a, b in zip(bounds, bounds[1:], strict=False):
+        special = pc.match_substring_regex(texts, self.added, ignore_case=True).to_pylist() if self.added else [False] * len(texts)
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if special[k]:
+                yield np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+                continue
             own = codes[a:b]
             n = length[own]
             ends = np.cumsum(n)
