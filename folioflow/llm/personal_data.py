@@ -1,23 +1,25 @@
 r"""Personal data by bootstrapped contextual extraction.
 
 Strict forms of four kinds (e-mail, IP address, card, phone) are the base spans and the seeds. Looser forms, such
-as a number of digits that passes no check or a spelled-out address, are candidates. The words beside an
+as a number of digits that passes no check or a spelled-out address, are candidates of the kinds that they look like, and any other
+token with a digit or an at sign is one of all kinds: the patterns that it stands in tell its kind. The words beside an
 occurrence are lexical patterns: the word before, the two words before, and the word after. Patterns and
 instances make a graph, which Spark scores in rounds: a pattern's score for a kind is the sum of its instances'
 confidence in it over the number of all its instances plus ``DOUBT``; a candidate's confidence in a kind
 that its form allows is that at least one of its patterns is right. A pattern counts once it has ``SUPPORT`` seeds or
 candidates above ``SURE``, so that what is found induces further patterns, until none is added. Candidates that end
-above ``SURE`` are added, wherever they occur; base spans always stay. Only the loose forms are candidates.
+above ``SURE`` are added, wherever they occur; base spans always stay.
 
 Defined results: a null or empty text has no spans; rows that share doc_id and text have equal spans; spans are in
-the order of kinds, then of starts, in code points; counts are of base spans; an empty table
-gives an empty result.
+the order of kinds, then of starts, in code points; counts are of base spans, ``n_spans`` of all; texts are searched whole,
+however long; an empty table gives an empty result; further columns, of any names, don't matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -41,6 +43,8 @@ LOOSE = (
     (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){0,8}"), ("email",)),
     (re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ("ip",)),
     (re.compile(r"(?<![0-9A-Za-z+])[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])"), ("card", "phone")),
+    # Any other token with a digit or an at sign; only the contexts that it stands in can tell its kind.
+    (re.compile(r"(?<!\S)[(\"'<\[]?(?=\S{0,63}[0-9@])[^\s,;]{5,63}[^\s.,;:!?)\"'>\]](?=[.,;:!?)\"'>\]]*(?:\s|$))"), KINDS),
 )
 
 
@@ -76,15 +80,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[tuple[str, ...], int, int]]:
-    """(kinds, start, end) of loose forms that touch no base span."""
-    out = []
-    taken = sorted((a, b) for _, a, b in base)
+    """(kinds, start, end) of loose forms that touch no base span, nor one of an earlier form."""
+    out: list[tuple[tuple[str, ...], int, int]] = []
+    taken = _merged((a, b) for _, a, b in base)
     for pattern, kinds in LOOSE:
         if kinds == ("email",) and "@" not in text and "at)" not in text and "at]" not in text or kinds == ("ip",) and ":" not in text:
             continue
+        starts, found = [a for a, _ in taken], []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((kinds, *m.span()))
+            k = bisect_left(starts, m.end())
+            if not k or taken[k - 1][1] <= m.start():
+                found.append((kinds, *m.span()))
+        out += found
+        taken = _merged([*taken, *((a, b) for _, a, b in found)])
+    return out
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """In order, those that overlap as one, so that ends rise with starts."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -171,4 +190,4 @@ def _is(kind: int):
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(scratch.table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_written("base").cast("binary"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_written("base").cast("binary"), 256).alias("base_sha256"), _written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
