@@ -6,7 +6,7 @@ sizes drift apart; it has one row for each slot, so it is of fixed size whatever
 
 Defined results: a null text has no bytes (size 16, crc32 0); a null ``doc_id`` has a slot like any
 other value; repeated rows each get a position of their own in their shard, ties in any order since such
-rows are alike; an empty table gives an empty result and a map that deals slots round; columns of
+rows are alike; a text of any length counts whole; an empty table gives an empty result and a map that deals slots round; columns of
 the input that are named like an output column are replaced by it.
 """
 
@@ -73,6 +73,28 @@ def grown_map(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     return known.select("virtual_slot", "bytes", F.when(goes, F.lit(n_shards)).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("map_version") + 1).alias("map_version"))
 
 
+def drifted_map(current: DataFrame, sizes: DataFrame, n_shards: int = SHARDS, tolerance: float = 0.05) -> DataFrame:
+    """The next version of ``current`` for sizes that have drifted apart: few slots move, no others.
+
+    A shard beyond the mean by more than ``tolerance`` gives its largest slots that together don't exceed its surplus.
+    The given slots, end to end, are laid along the room that shards below the mean have, and each goes where its middle
+    falls. Both tables have a fixed number of rows, at most one for each slot.
+    """
+    all_rows = W.partitionBy(F.lit(1))
+    known = current.drop("bytes").join(F.broadcast(sizes.select("virtual_slot", "bytes")), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    shards = sizes.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
+    loads = shards.join(known.groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left").fillna(0).withColumn("mean", F.sum("load").over(all_rows) / n_shards)
+    surplus = known.join(loads.filter(F.col("load") > F.col("mean") * (1 + tolerance)), "shard").withColumn("over", F.col("load") - F.col("mean")).filter("bytes > 0 AND bytes <= over")
+    large_first = W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
+    given = surplus.withColumn("sum", F.sum("bytes").over(large_first)).filter("sum <= over").select("virtual_slot", "bytes")
+    given = given.withColumn("at", F.sum("bytes").over(all_rows.orderBy(F.desc("bytes"), "virtual_slot")) - F.col("bytes") / 2)
+    takers = loads.filter("load < mean").withColumn("room", F.col("mean") - F.col("load")).withColumn("end", F.sum("room").over(all_rows.orderBy(F.desc("room"), "shard")))
+    takers = takers.select(F.col("shard").alias("taker"), (F.col("end") - F.col("room")).alias("start"), "end")
+    moves = given.join(F.broadcast(takers), (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("virtual_slot", "taker")
+    moved = known.join(F.broadcast(moves), "virtual_slot", "left")
+    return moved.select("virtual_slot", "bytes", F.coalesce("taker", "shard").cast("int").alias("shard"), (F.col("map_version") + 1).alias("map_version"))
+
+
 def store_map(slot_map: DataFrame, path: str) -> None:
     """Append a version to the stored map; versions are never rewritten."""
     slot_map.coalesce(1).write.mode("append").partitionBy("map_version").parquet(path)
