@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import importlib
+from folioflow.llm import decontamination, mixing, near_dedup, personal_data, quality, sharding, substring_dedup, token_output, toxicity, vector_search
 
 OPERATORS = {
-    "op1_token_ids": "token_output",
-    "op2_substring_dedup": "substring_dedup",
-    "op3_toxicity": "toxicity",
-    "op4_decontamination": "decontamination",
-    "op5_sharding": "sharding",
-    "op6_mixing": "mixing",
-    "op7_near_dedup": "near_dedup",
-    "op8_vector_search": "vector_search",
-    "op9_personal_data": "personal_data",
-    "op10_quality": "quality",
+    "op1_token_ids": token_output,
+    "op2_substring_dedup": substring_dedup,
+    "op3_toxicity": toxicity,
+    "op4_decontamination": decontamination,
+    "op5_sharding": sharding,
+    "op6_mixing": mixing,
+    "op7_near_dedup": near_dedup,
+    "op8_vector_search": vector_search,
+    "op9_personal_data": personal_data,
+    "op10_quality": quality,
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"folioflow.llm.{module}"), name) for name, module in OPERATORS.items()}
+    return {name: getattr(module, name) for name, module in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express."""
-    return {name: sql for name, module in OPERATORS.items() if (sql := getattr(importlib.import_module(f"folioflow.llm.{module}"), "SQL", None))}
+    return {name: module.SQL for name, module in OPERATORS.items() if hasattr(module, "SQL")}

@@ -427,3 +427,92 @@ def test_pipeline(spark, data):
     assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert out.count() == sizes[-1] and out.filter("shard IS NULL").count() == 0
+
+
+def test_added_tokens(texts):
+    """Strings that the vocabulary holds as tokens of their own, glued to words and apart."""
+    import pyarrow as pa
+
+    e = token_output.Encoder(token_output.vocabulary_path())
+    said = ["<|endoftext|>x", "a<|startoftext|>", "Of <|endoftext|> the<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> of", "<|endof text|>", *texts[:3]]
+    assert [x.tolist() for x in e.encode(pa.array(said))] == [e.whole.encode(t, add_special_tokens=False).ids for t in said]
+    assert 49407 in e.whole.encode(said[0], add_special_tokens=False).ids
+
+
+def test_wide_scores(spark):
+    """Components whose products need more than 64 bits; and more vectors than are read first."""
+    big = 1 << 62
+    rows = [(0, [big, 3]), (1, [big, 1]), (2, [-big, 5]), (3, [1, 7]), (4, [1, 8])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = vector_search.top_k(table, table.filter("vec_id IN (0, 3)"), 4).orderBy("query_id", "rank").collect()
+    limit = (1 << 63) - 1
+    clip = lambda s: min(max(s, -limit - 1), limit)
+    of = dict(rows)
+    for q in (0, 3):
+        best = sorted((-clip(sum(a * b for a, b in zip(of[q], v, strict=True))), k) for k, v in rows if k != q)
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(k, -s) for s, k in best]
+    rng = np.random.default_rng(1)
+    many = [(k, [int(x) for x in rng.integers(-3, 4, 3)]) for k in range(400)]
+    table = spark.createDataFrame(many, "vec_id long, v array<long>")
+    got = vector_search.top_k(table, table.filter("vec_id % 20 = 0"), 5).collect()
+    for q, v in many[::20]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in many if k != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, k, -s) for n, (s, k) in enumerate(best, 1)]
+
+
+def test_drifted_map(spark):
+    rows = spark.range(40_000).select((F.col("id") % 4096).cast("int").alias("virtual_slot"), F.lit(10).alias("size"))
+    first = sharding.balanced_map(sharding.slot_sizes(rows), 40)
+    hot = first.filter("shard < 3").select("virtual_slot")
+    grown = rows.unionByName(rows.join(hot, "virtual_slot").withColumn("size", F.lit(12)))
+    sizes = sharding.slot_sizes(grown)
+    second = sharding.drifted_map(first, sizes, 40)
+    both = first.select("virtual_slot", "shard").join(second.withColumnRenamed("shard", "now"), "virtual_slot").collect()
+    before, after = Counter(), Counter()
+    for r in both:
+        before[r.shard] += r.bytes
+        after[r.now] += r.bytes
+    assert len(both) == 4096 and {r.map_version for r in both} == {2}
+    moved = [r for r in both if r.shard != r.now]
+    assert moved and {r.shard for r in moved} <= {0, 1, 2} and len(moved) < 4096 * 3 / 40
+    assert max(after.values()) < 0.7 * max(before.values()) and max(after.values()) <= 1.06 * sum(after.values()) / 40
+    assert all(r.shard == r.now for r in first.select("virtual_slot", "shard").join(sharding.drifted_map(first, sharding.slot_sizes(rows), 40).withColumnRenamed("shard", "now"), "virtual_slot").collect())
+
+
+def test_contrasting_words(spark):
+    """Chosen words equal those of a plain count; some wrong labels don't change what is said of a toxic word."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        words = sentence(rng, 40).split()
+        if k % 3 == 0:
+            words[5:5] = ["wretched", "Scoundrel,"]
+        rows.append((" ".join(words), int(k % 3 == 0 and k % 30 != 0)))
+    rows += [("", 0), ("long " * 30_000, 0)]
+    table = spark.createDataFrame(rows, "text string, label_ int")
+    count = (Counter(), Counter())
+    for t, y in rows:
+        count[y].update(set(re.findall(rb"[a-z0-9]+", t.lower().encode())))
+    n, m = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    score = {}
+    for w, a in count[1].items():
+        if a > 1:
+            p = (a + count[0][w]) / (n + m)
+            score[w] = (a / n - count[0][w] / m) / max(1e-9, p * (1 - p)) ** 0.5 / (1 / n + 1 / m) ** 0.5
+    wanted = {w for w, s in score.items() if s >= 4 and s >= 0.25 * max(score.values())}
+    assert toxicity.contrasting_words(table) == wanted == {b"wretched", b"scoundrel"}
+    model = toxicity.fit(table)
+    scorer = toxicity.Scorer(model)
+    text = sentence(rng, 40)
+    assert scorer.score(text) + 0.2 < scorer.score(f"{text} such wretched and scoundrel talk of all here and there") and toxicity.fit(table).weights == model.weights
+    assert scorer.score(None) == scorer.score("")
+
+
+def test_membership_is_exact_with_a_full_bitmap(spark, monkeypatch):
+    from folioflow.llm import membership
+
+    monkeypatch.setattr(membership, "BITS", 64)
+    docs = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("row"), F.lit(1).alias("key_"))
+    gone = spark.range(0, 500, 3).select(F.col("id").alias("gone_"))
+    got = sorted(r.doc_id if r.doc_id is not None else -1 for r in membership.without(docs, F.col("doc_id"), gone).collect())
+    assert got == sorted(k if k % 7 else -1 for k in range(500) if not (k % 7 and k % 3 == 0))
