@@ -18,7 +18,6 @@ dictionary; texts are taken whole, however long; further columns, of any names,
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
 #: Words that a worker remembers, and bytes of text that it takes together.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 SLICE_BYTES = 16 << 20
 
 
@@ -57,8 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = "|".join(re.escape(c) for c in added)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
@@ -120,7 +118,9 @@ class Encoder:
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(length) - length
         every = np.frombuffer(b"".join(ids), "<u4")
-        special = pc.match_substring_regex(texts, self.added, ignore_case=True).to_pylist() if self.added else [False] * len(texts)
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if special[k]:
                 yield np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")

@@ -130,10 +130,12 @@ def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> Model:
     """From ordinary windows and from the chosen words of toxic documents, both in no order of content, as the trainer looks
     at the first part only; without weights."""
     header, base = _content(ordinary, min(ORDINARY_BYTES, max(1024, sum(map(len, ordinary)) // SAMPLES_PER_BYTE)))
-    _, own = _content(toxic, TOXIC_BYTES, k=24, d=6) if toxic else (b"", b"")
-    own += b"\0" * (-len(own) % 3)
-    front = header + b"\0" * BLANK + base
-    return Model(front + b"\0" * len(own), front + own, base[-48:], [])
+    several = b"".join(dict.fromkeys(toxic))
+    own = several if len(several) <= TOXIC_BYTES else _content(toxic, TOXIC_BYTES, k=24, d=6)[1]
+    own += b" " * (-len(own) % 3)
+    front, phrase = header + b"\0" * BLANK + base, base[-48:]
+    last = b" %b " % phrase  # the compressor doesn't look up the last bytes of a dictionary
+    return Model(front + b"\0" * len(own) + last, front + own + last, phrase, [])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
