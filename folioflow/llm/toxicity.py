@@ -161,7 +161,7 @@ def contrasting_words(rows: DataFrame) -> set[bytes]:
 
 
 def _training(batches: Iterator[pa.RecordBatch], chosen: set[bytes]) -> Iterator[pa.RecordBatch]:
-    """Of an ordinary document the window with the least hash, of a toxic one its chosen words."""
+    """Of an ordinary document the window with the least hash of those without chosen words, of a toxic one its chosen words."""
     for batch in batches:
         hashes, windows, labels = [], [], []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label_").to_pylist(), strict=True):
@@ -169,7 +169,7 @@ def _training(batches: Iterator[pa.RecordBatch], chosen: set[bytes]) -> Iterator
             if label:
                 own = [(0, list(dict.fromkeys(w for w in words if w in chosen)))]
             else:
-                own = [(xxhash.xxh64_intdigest(b" ".join(w)) >> 1, w) for i in range(0, len(words), LONG_WINDOW) for w in [words[i : i + LONG_WINDOW]]]
+                own = [(xxhash.xxh64_intdigest(b" ".join(w)) >> 1, w) for i in range(0, len(words), LONG_WINDOW) for w in [words[i : i + LONG_WINDOW]] if chosen.isdisjoint(w)]
             for h, w in [min(own)] if own and own[0][1] else []:
                 hashes.append(h)
                 windows.append(b" %b " % b" ".join(w))
