@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def event_key(label: str, fields: list[tuple[str, Column]]) -> Column:
@@ -19,6 +19,18 @@ def set_hash(column: str) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"), 256)
 
 
+def folded_hash(rows: DataFrame, group: str, key: str, size: int = 1000) -> DataFrame:
+    """``(group, set_hash)`` of any number of integer keys: hashes of ``size`` keys, then of ``size`` of those, then of the rest."""
+    level = rows.select(group, F.col(key).alias("part"), F.col(key).cast("string").alias("h"))
+    for _ in range(2):
+        level = level.groupBy(group, F.floor(F.col("part") / size).alias("next")).agg(_joined_hash("part", "h").alias("h")).withColumnRenamed("next", "part")
+    return level.groupBy(group).agg(_joined_hash("part", "h").alias("set_hash"))
+
+
+def _joined_hash(order: str, value: str) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "\n"), 256)
+
+
 def row_hash(*columns: str) -> Column:
     """A hash of the named columns in the order of their names."""
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))), 256)

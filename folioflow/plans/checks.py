@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.catalog import query
-from folioflow.operators.lifecycle import event_key, drift, reconciled, set_hash
+from folioflow.operators.lifecycle import event_key, drift, folded_hash, reconciled
 from folioflow.operators.tables import check_rows, guarded_update
 from folioflow.scratch import table
 
@@ -141,10 +141,17 @@ def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", event_key("event-v1", [("user", F.col("user_id")), ("type", F.col("event_type"))]).alias("event_key"))
 
 
-@query("target_set_hash", "SELECT lang, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS set_hash FROM documents WHERE n_chars > 5000 GROUP BY lang")
+def _folded(of: str, inner: str, by: int) -> str:
+    return f"SELECT lang, {of} // {by} AS part, sha256(string_agg(h, chr(10) ORDER BY {of})) AS h FROM ({inner}) GROUP BY lang, {of} // {by}"
+
+
+IDS_SQL = "SELECT lang, doc_id, CAST(doc_id AS VARCHAR) AS h FROM documents"
+
+
+@query("target_set_hash", f"SELECT lang, sha256(string_agg(h, chr(10) ORDER BY part)) AS set_hash FROM ({_folded('part', _folded('doc_id', IDS_SQL, 1000), 1000)}) GROUP BY lang")
 def target_set_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("n_chars > 5000")
-    return rows.groupBy("lang").agg(set_hash("doc_id").alias("set_hash"))
+    """A hash of all ids of a language: of a thousand ids at a time, then of a thousand such hashes, so that no group is large."""
+    return folded_hash(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
 
 
 @query(

@@ -19,19 +19,24 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
+WINDOW_LINES = 5
+
+
 @query(
     "line_windows",
-    """
-    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars < 3000), s AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d), n AS (SELECT *, unnest(range(1, 4)) AS n FROM s)
-    SELECT doc_id, CAST(i - 1 AS INTEGER) AS first_line, CAST(n AS INTEGER) AS lines, md5(array_to_string(list_slice(ls, i, i + n - 1), ' ')) AS window_md5 FROM n WHERE i + n - 1 <= len(ls)
+    f"""
+    WITH {LINES_SQL}, n AS (SELECT *, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3, lead(text, 4) OVER w AS t4 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    s AS (SELECT *, unnest(range(1, 6)) AS n FROM n)
+    SELECT doc_id, line AS first_line, CAST(n AS INTEGER) AS lines, md5(concat_ws(' ', text, CASE WHEN n > 1 THEN t1 END, CASE WHEN n > 2 THEN t2 END, CASE WHEN n > 3 THEN t3 END, CASE WHEN n > 4 THEN t4 END)) AS window_md5
+    FROM s WHERE n = 1 OR n = 2 AND t1 IS NOT NULL OR n = 3 AND t2 IS NOT NULL OR n = 4 AND t3 IS NOT NULL OR n = 5 AND t4 IS NOT NULL
     """,
 )
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of one to three lines of shorter sections."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 3000").select("doc_id", F.split("text", "\n").alias("ls"))
-    starts = docs.select("doc_id", "ls", F.explode(F.sequence(F.lit(1), F.size("ls"))).alias("i"))
-    spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("ls") - F.col("i") + 1))))
-    return spans.select("doc_id", (F.col("i") - 1).alias("first_line"), F.col("n").alias("lines"), F.md5(F.array_join(F.slice("ls", F.col("i"), F.col("n")), " ")).alias("window_md5"))
+    """Windows of one to five lines of all sections, joined by a space."""
+    after = [F.lead("text", k).over(W.partitionBy("doc_id").orderBy("line")) for k in range(1, WINDOW_LINES)]
+    rows = lines(spark, sf_dir).withColumn("ts", F.filter(F.array("text", *after), lambda t: t.isNotNull()))
+    spans = rows.select("doc_id", "line", "ts", F.explode(F.sequence(F.lit(1), F.size("ts"))).alias("n"))
+    return spans.select("doc_id", F.col("line").alias("first_line"), F.col("n").alias("lines"), F.md5(F.array_join(F.slice("ts", 1, F.col("n")), " ")).alias("window_md5"))
 
 
 COUNT_SQL = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
@@ -81,23 +86,33 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = f"""
-    t AS (SELECT item_id, {TOKENS_SQL.format('left(text, 60)')} AS expected FROM benchmark),
-    d AS (SELECT doc_id, list_distinct({TOKENS_SQL.format('left(text, 400)')}) AS found FROM documents),
-    c AS (SELECT item_id, doc_id, expected, found FROM (SELECT item_id, expected, unnest(list_distinct(expected)) AS w FROM t) JOIN (SELECT doc_id, found, unnest(found) AS w FROM d) USING (w) WHERE length(w) >= 5 GROUP BY ALL),
-    p AS (SELECT item_id, doc_id, round(len(list_filter(expected, lambda x: list_contains(found, x))) / len(expected), 6) AS covered,
-          round(len(list_intersect(list_distinct(expected), found)) / len(list_distinct(list_concat(expected, found))), 6) AS jaccard FROM c)
+    {LINES_SQL}, t AS (SELECT item_id, {TOKENS_SQL.format('left(text, 60)')} AS expected FROM benchmark),
+    d AS (SELECT doc_id, line, list_distinct({TOKENS_SQL.format('text')}) AS found FROM l),
+    x AS (SELECT item_id, len(expected) AS n, len(list_distinct(expected)) AS own, u.w, u.c FROM (SELECT item_id, expected, unnest(list_transform(list_distinct(expected), lambda y: {{'w': y, 'c': len(list_filter(expected, lambda z: z = y))}})) AS u FROM t)),
+    c AS (SELECT item_id, doc_id, line, n, own, sum(c) AS hits, count(*) AS common, any_value(k) AS k FROM x JOIN (SELECT doc_id, line, len(found) AS k, unnest(found) AS w FROM d) USING (w) GROUP BY item_id, doc_id, line, n, own),
+    q AS (SELECT item_id, doc_id, line, round(hits / n, 6) AS covered, round(common / (own + k - common), 6) AS jaccard FROM c WHERE hits >= 0.5 * n),
+    p AS (SELECT item_id, doc_id, covered, jaccard FROM q QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY covered DESC, jaccard DESC, line) = 1)
 """
+#: The share of a title's words that an anchor has at least.
+LEAST_COVERED = 0.5
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(item_id, doc_id, covered, jaccard)``: titles and openings that share a word of five letters or more."""
-    expected = titles(spark, sf_dir).select("item_id", tokens("title").alias("expected"))
-    found = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens(F.substring("text", 1, 400))).alias("found"))
-    x = expected.withColumn("w", F.explode(F.array_distinct("expected"))).filter(F.length("w") >= 5)
-    y = found.withColumn("w", F.explode("found")).filter(F.length("w") >= 5)
-    pairs = x.select("item_id", "w").join(y.select("doc_id", "w"), "w").select("item_id", "doc_id").distinct()
-    rows = pairs.join(expected, "item_id").join(found, "doc_id")
-    return rows.select("item_id", "doc_id", F.round(coverage("expected", F.col("found")), 6).alias("covered"), F.round(jaccard("expected", "found"), 6).alias("jaccard"))
+    """``(item_id, doc_id, line, covered, jaccard)``: the best line of each document that has half of a title's words.
+
+    A line without any of a title's rarest words, as many as leave fewer than half of its words, can't have half of them, so
+    only lines that share one of these are compared.
+    """
+    found = lines(spark, sf_dir).select("doc_id", "line", F.array_distinct(tokens("text")).alias("found")).filter(F.size("found") > 0)
+    title = titles(spark, sf_dir).select("item_id", tokens("title").alias("expected")).filter(F.size("expected") > 0)
+    words = title.select("item_id", F.size("expected").alias("n"), F.explode("expected").alias("w")).groupBy("item_id", "n", "w").agg(F.count("*").alias("c"))
+    rarity = found.select(F.explode("found").alias("w")).join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("rows"))
+    behind = F.sum("c").over(W.partitionBy("item_id").orderBy(F.desc(F.coalesce("rows", F.lit(0))), "w"))
+    prefix = words.join(rarity, "w", "left").withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * LEAST_COVERED)
+    some = found.select("doc_id", "line", F.explode("found").alias("w")).join(prefix.select("item_id", "w"), "w").select("item_id", "doc_id", "line").distinct()
+    rows = some.join(title, "item_id").join(found, ["doc_id", "line"]).select("item_id", "doc_id", "line", coverage("expected", F.col("found")).alias("share"), F.round(jaccard("expected", "found"), 6).alias("jaccard"))
+    best = F.max(F.struct(F.round("share", 6).alias("covered"), "jaccard", (-F.col("line")).alias("less"))).alias("m")
+    return rows.filter(F.col("share") >= LEAST_COVERED).groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", (-F.col("m.less")).alias("line"), "m.covered", "m.jaccard")
 
 
 @query("token_coverage", f"WITH {PAIRS_SQL} SELECT item_id, doc_id, covered FROM p WHERE covered >= 0.5")
@@ -141,9 +156,10 @@ def unique_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ordered_anchors")
 def ordered_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a title's words follow each other in its best anchors."""
-    best = anchor_pairs_topk(spark, sf_dir).select("item_id", "doc_id")
-    rows = best.join(titles(spark, sf_dir), "item_id").join(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("opening")), "doc_id")
-    return rows.select("item_id", "doc_id", F.round(ordered_coverage(tokens("title"), tokens("opening")), 6).alias("ordered"))
+    w = W.partitionBy("item_id").orderBy(F.desc("covered"), F.desc("jaccard"), "doc_id")
+    best = anchor_pairs(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("item_id", "doc_id", "line")
+    rows = best.join(titles(spark, sf_dir), "item_id").join(lines(spark, sf_dir), ["doc_id", "line"])
+    return rows.select("item_id", "doc_id", F.round(ordered_coverage(tokens("title"), tokens("text")), 6).alias("ordered"))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -158,13 +174,13 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def best_node_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar opening of each title."""
     left, right = _sides(spark, sf_dir)
-    return best_of_all(left.drop("a_label", "a_part"), right.drop("b_label", "b_part"), "block", 0.4).select("a", "b", "score")
+    return best_of_all(left.drop("a_label", "a_part"), right.drop("b_label", "b_part"), "block").select("a", "b", "score")
 
 
 @query("chapter_match")
 def chapter_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and openings one to one, by the weighted score of chapters."""
-    return one_to_one_of_all(*_sides(spark, sf_dir), "block", 0.4).select("a", "b", "score")
+    return one_to_one_of_all(*_sides(spark, sf_dir), "block").select("a", "b", "score")
 
 
 @query("toc_parse")

@@ -55,13 +55,13 @@ def progress_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {SESSIONS}, {PROGRESS}, t AS (SELECT DISTINCT book, section FROM s)
     SELECT user_id, book, section, rank FROM (
       SELECT p.user_id, p.book, t.section, CAST(row_number() OVER (PARTITION BY p.user_id, p.book ORDER BY t.section) AS INTEGER) AS rank
-      FROM p JOIN t ON p.book = t.book AND t.section >= p.current_section - 20) WHERE rank <= 15
+      FROM p JOIN t ON p.book = t.book AND t.section >= p.current_section) WHERE rank <= 15
     """,
 )
 def reading_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next fifteen sections of each reader."""
+    """The next fifteen sections of each reader, from the current one on."""
     known = sessions(spark, sf_dir).select("book", "section").distinct()
-    ahead = progress(spark, sf_dir).join(known, "book").filter(F.col("section") >= F.col("current_section") - 20)
+    ahead = progress(spark, sf_dir).join(known, "book").filter(F.col("section") >= F.col("current_section"))
     rank = F.row_number().over(W.partitionBy("user_id", "book").orderBy("section"))
     return ahead.withColumn("rank", rank).filter("rank <= 15").select("user_id", "book", "section", "rank")
 
@@ -81,7 +81,7 @@ def reader_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "book", "current_section", "minutes", (F.col("book").isin("click", "view") & (F.col("minutes") >= 1)).alias("goal"))
 
 
-SIZES = "w AS (SELECT doc_id AS section, n_chars AS words FROM documents WHERE doc_id < 50)"
+SIZES = "w AS (SELECT doc_id % 50 AS section, CAST(sum(n_chars) AS BIGINT) AS words FROM documents GROUP BY 1)"
 
 
 @query(
@@ -99,7 +99,7 @@ SIZES = "w AS (SELECT doc_id AS section, n_chars AS words FROM documents WHERE d
     """,
 )
 def q_completion_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").filter("doc_id < 50").select(F.col("doc_id").alias("section"), F.col("n_chars").alias("words"))
+    sizes = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("section")).agg(F.sum("n_chars").alias("words"))
     return completion_estimate(progress(spark, sf_dir), sessions(spark, sf_dir), sizes, AS_OF).withColumn("target", F.col("target").cast("string"))
 
 

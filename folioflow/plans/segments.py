@@ -125,17 +125,23 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(spark, sf_dir)
 
 
+#: Counts from which on a book is reconstructed as a whole.
+FULL = {"split": 25, "review": 10, "missing": 20}
+
+
 @query(
     "strategy",
     f"""
-    SELECT source, CASE WHEN split >= 6 THEN 'split-first' WHEN review >= 3 THEN 'review-first' WHEN missing >= 30 THEN 'complete-first' ELSE 'direct' END AS strategy FROM (
+    SELECT source, CASE WHEN split >= 25 OR review >= 10 OR missing >= 20 THEN 'full-staging-reconstruction' WHEN split + review + missing > 0 THEN 'targeted-staging-reconstruction' ELSE 'metadata-alignment' END AS strategy FROM (
       SELECT source, count(*) FILTER (WHERE list_contains(reasons, 'oversized')) AS split, count(*) FILTER (WHERE list_contains(reasons, 'boundary')) AS review,
              count(*) FILTER (WHERE list_contains(reasons, 'no-decision')) AS missing FROM ({REASONS_SQL}) GROUP BY source)
     """,
 )
 def strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = reasons(spark, sf_dir).groupBy("source").agg(*(F.count_if(F.array_contains("reasons", r)).alias(n) for r, n in (("oversized", "split"), ("boundary", "review"), ("no-decision", "missing"))))
-    plan = F.when(F.col("split") >= 6, "split-first").when(F.col("review") >= 3, "review-first").when(F.col("missing") >= 30, "complete-first").otherwise("direct")
+    split, review, missing = F.col("split"), F.col("review"), F.col("missing")
+    full = (split >= FULL["split"]) | (review >= FULL["review"]) | (missing >= FULL["missing"])
+    plan = F.when(full, "full-staging-reconstruction").when(split + review + missing > 0, "targeted-staging-reconstruction").otherwise("metadata-alignment")
     return counts.select("source", plan.alias("strategy"))
 
 

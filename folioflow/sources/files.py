@@ -67,7 +67,7 @@ def paths(schema, before: str = "") -> list[str]:
 def resolve(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """``files(path, content)`` for ``manifest(name, sha256)``: by file name first, else by content."""
     known = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("found"))
-    hits = manifest.join(known, (F.col("file") == F.col("name")) | (F.col("found") == F.col("sha256")))
+    hits = manifest.join(known, F.col("file") == F.col("name")).unionByName(manifest.join(known, F.col("found") == F.col("sha256")))
     best = hits.groupBy("name", "sha256").agg(F.min(F.struct((F.col("file") != F.col("name")).alias("other"), "path", "found")).alias("m"))
     return best.select("name", "m.path", (F.col("m.found") == F.col("sha256")).alias("verified"))
 
