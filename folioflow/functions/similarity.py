@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from folioflow.functions.text import fold_title
+from folioflow.functions.text import fold_title, search_text, significant_words
 
 
 def jaccard(a, b) -> Column:
@@ -38,13 +38,13 @@ def ordered_coverage(expected, found) -> Column:
     return F.when(F.size(expected) > 0, F.aggregate(expected, start, step)["hits"] / F.size(expected)).otherwise(F.lit(0.0))
 
 
-def title_similarity(a: str | None, b: str | None) -> float:
+def title_likeness(a: str | None, b: str | None) -> float:
     """0 if either folds to nothing, 1 if they fold alike, else the larger of token Jaccard and matching-block ratio."""
     return folded_similarity(fold_title(a), fold_title(b))
 
 
 def folded_similarity(x: str, y: str) -> float:
-    """``title_similarity`` of titles that are folded already."""
+    """``title_likeness`` of titles that are folded already."""
     if not x or not y:
         return 0.0
     if x == y:
@@ -53,11 +53,11 @@ def folded_similarity(x: str, y: str) -> float:
     return max(len(s & t) / len(s | t), SequenceMatcher(None, x, y).ratio())
 
 
-def title_similarity_column(a, b) -> Column:
-    """``title_similarity`` over two columns, in Arrow batches."""
+def title_likeness_column(a, b) -> Column:
+    """``title_likeness`` over two columns, in Arrow batches."""
 
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([title_similarity(s, t) for s, t in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([title_likeness(s, t) for s, t in zip(x, y, strict=True)], dtype="float64")
 
     return F.pandas_udf(apply, "double")(a, b)
 
@@ -65,3 +65,38 @@ def title_similarity_column(a, b) -> Column:
 def uppercase_share(column) -> Column:
     letters = F.regexp_count(column, F.lit(r"\p{L}"))
     return F.when(letters > 0, F.regexp_count(column, F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
+
+
+def word_order_ratio(expected: str | None, found: str | None) -> float:
+    """Matching blocks of significant words; 0 if either has none."""
+    a, b = significant_words(expected), significant_words(found)
+    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+def opening_ratio(expected: str | None, found: str | None) -> float:
+    """Matching blocks of characters with the first 500, or five times the expected ones, of what is found."""
+    a, b = search_text(expected), search_text(found)
+    return SequenceMatcher(None, a, b[: max(500, 5 * len(a))]).ratio() if a and b else 0.0
+
+
+def anchor_score(exact, covered, distinctive, ordered, sequence, bonus, proximity, penalty, n_lines) -> Column:
+    """Of a block as the anchor of a title; blocks of more than eight lines count less."""
+    return 8 * exact.cast("int") + 5 * covered + 2 * distinctive + 1.5 * ordered + sequence + bonus + proximity - penalty - 0.03 * F.greatest(F.lit(0), n_lines - 8)
+
+
+def heading_score(exact, covered, ratio, n_lines) -> Column:
+    """Of a window of lines as a heading."""
+    return 4 * exact.cast("int") + 2 * covered + ratio - 0.04 * (n_lines - 1)
+
+
+def title_window_score(exact, covered, set_covered, ratio, surplus, n_lines, exact_weight: int = 1) -> Column:
+    """Of a window as a title; the stricter variant counts an exact one twice."""
+    return exact_weight * exact.cast("int") + covered + set_covered + ratio - 0.03 * surplus - 0.01 * (n_lines - 1)
+
+
+def successor_score(exact, covered, ratio, surplus, n_lines) -> Column:
+    return 2 * exact.cast("int") + covered + ratio - 0.025 * surplus - 0.01 * (n_lines - 1)
+
+
+def part_title_score(exact, covered, distance, n_lines) -> Column:
+    return 4 + exact.cast("int") + covered + (1 - distance / 120) - 0.035 * (n_lines - 1)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioflow.functions.similarity import folded_similarity, title_similarity
+from folioflow.functions.similarity import folded_similarity, title_likeness
 from folioflow.functions.text import fold_title
 from folioflow.scratch import send_code, stage
 
@@ -69,7 +69,7 @@ def title_bounds(lefts: list[str], rights: list[str]) -> np.ndarray:
 
 
 def _division(a: str | None, b: str | None) -> float:
-    return title_similarity(a, b) if a or b else 1.0
+    return title_likeness(a, b) if a or b else 1.0
 
 
 def _by_pair(function: Callable, lefts: list, rights: list) -> np.ndarray:
@@ -85,7 +85,7 @@ def _scored(batches: Iterator[pa.RecordBatch], least: float, best: bool, weighte
             x, y = [fold_title(r["a_title"]) for r in lefts], [fold_title(r["b_title"]) for r in rights]
             label = rest = np.zeros((len(rights), len(lefts)))
             if weighted:
-                label = _by_pair(title_similarity, [r["a_label"] for r in lefts], [r["b_label"] for r in rights])
+                label = _by_pair(title_likeness, [r["a_label"] for r in lefts], [r["b_label"] for r in rights])
                 rest = WEIGHTS[1] * label + WEIGHTS[2] * _by_pair(_division, [r["a_part"] for r in lefts], [r["b_part"] for r in rights])
             weight = WEIGHTS[0] if weighted else 1.0
             most = weight * title_bounds(x, y) + rest + ROUNDING

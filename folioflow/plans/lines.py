@@ -185,9 +185,9 @@ def chapter_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("toc_parse")
 def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outline of each page: its main heading, and its list items as entries."""
+    """The outline of each page: its main heading as a chapter, its list items as entries; pages have no numbers, hence 0."""
     text = F.regexp_replace("html", "(?s)<(script|style).*?</\\1>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "<h1[^>]*>", "\nPart "), "(?s)<li[^>]*>\\s*(?:<[^>]+>)*([^<]+)", "\n$1 .... 0\n")
+    text = F.regexp_replace(F.regexp_replace(text, "(?s)<h1[^>]*>([^<]+)", "\nCapítulo I – $1 0\n"), "(?s)<li[^>]*>\\s*(?:<[^>]+>)*([^<]+)", "\n$1 .... 0\n")
     text = F.regexp_replace(text, "<[^>]+>", "\n")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(text, r"\n+")).alias("line", "text"))
     return outline(pages.filter(F.trim("text") != ""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.catalog import query
+from folioflow.functions.similarity import anchor_score, heading_score, part_title_score, successor_score, title_window_score
 from folioflow.scratch import table
 
 PAGE_SIZE = 10_000
@@ -224,3 +225,23 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     front = (F.size(F.filter("ls", lambda t: t.rlike(r"\.{3,}"))) >= 3) | F.lower("text").contains("contents")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("text"), F.split("text", "\n").alias("ls"))
     return docs.select("doc_id", F.coalesce(F.array_min(numbers)["t"].cast("int"), F.lit(0)).alias("printed_page"), front.alias("front_matter_like"))
+
+
+@query(
+    "window_scores",
+    """
+    SELECT item, id, round(8 * x + 5 * c + 2 * c + 1.5 * r + r + 0.4 + 0.2 - 1 - 0.03 * greatest(0, n - 8), 6) + 0 AS anchor, round(4 * x + 2 * c + r - 0.04 * (n - 1), 6) + 0 AS heading, round(x + c + c + r - 0.03 * s - 0.01 * (n - 1), 6) + 0 AS title,
+           round(2 * x + c + c + r - 0.03 * s - 0.01 * (n - 1), 6) + 0 AS strict_title, round(2 * x + c + r - 0.025 * s - 0.01 * (n - 1), 6) + 0 AS successor, round(4 + x + c + (1 - d / 120.0) - 0.035 * (n - 1), 6) + 0 AS part,
+           c >= 0.8 AND r >= 0.62 AND s <= 8 AS accepted
+    FROM (SELECT l_orderkey AS item, l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS x, CAST(l_discount AS DOUBLE) * 10 AS c, CAST(l_tax AS DOUBLE) * 12 AS r, l_suppkey % 12 AS n, l_suppkey % 9 AS s, l_partkey % 120 AS d FROM lineitem)
+    """,
+)
+def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of windows, from given measures, and whether a title window is accepted."""
+    x, c, r = F.col("l_returnflag") == "N", F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 12
+    n, s, d = F.col("l_suppkey") % 12, F.col("l_suppkey") % 9, F.col("l_partkey") % 120
+    scores = {
+        "anchor": anchor_score(x, c, c, r, r, F.lit(0.4), F.lit(0.2), F.lit(1), n), "heading": heading_score(x, c, r, n), "title": title_window_score(x, c, c, r, s, n),
+        "strict_title": title_window_score(x, c, c, r, s, n, 2), "successor": successor_score(x, c, r, s, n), "part": part_title_score(x, c, d, n),
+    }
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("id"), *((F.round(v, 6) + F.lit(0.0)).alias(k) for k, v in scores.items()), ((c >= 0.8) & (r >= 0.62) & (s <= 8)).alias("accepted"))
