@@ -516,3 +516,40 @@ def test_membership_is_exact_with_a_full_bitmap(spark, monkeypatch):
     gone = spark.range(0, 500, 3).select(F.col("id").alias("gone_"))
     got = sorted(r.doc_id if r.doc_id is not None else -1 for r in membership.without(docs, F.col("doc_id"), gone).collect())
     assert got == sorted(k if k % 7 else -1 for k in range(500) if not (k % 7 and k % 3 == 0))
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, nothing, texts, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through; an empty table stays empty."""
+    import corpus_pipeline
+
+    marks = spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("b1", " ".join(texts[10].split()[:14])), (None, None)], "item_id string, text string")
+    save(awkward, tmp_path, "documents"), save(marks.limit(0), tmp_path, "labels"), save(bench, tmp_path, "benchmark")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, scratch.stage(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == awkward.columns
+        if name == "toxicity":  # without labels all scores are 0
+            assert docs.count() == awkward.count()
+        if name == "near_dedup":
+            kept = {r.doc_id for r in near_dedup.near_duplicates(before, near_dedup.FIVE_WORDS).filter("kept").collect()}
+            assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
+        if name == "decontamination":
+            assert {r.doc_id for r in before.select("doc_id").collect()} - {r.doc_id for r in docs.select("doc_id").collect()} == {10}
+        if name == "mixing":
+            got = mixing.taken(scratch.stage(mixing.measured(before), "records")).filter("copies > 0").groupBy("doc_id").sum("copies").collect()
+            assert Counter(r.doc_id for r in docs.select("doc_id").collect()) == {r.doc_id: r["sum(copies)"] for r in got}
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.count() == docs.count() and out.filter("shard IS NULL").count() == 0
+    path = tmp_path / "none"
+    save(nothing, path, "documents"), save(marks, path, "labels"), save(bench, path, "benchmark")
+    assert corpus_pipeline.run(spark, str(path)).count() == 0
+
+
+def test_mixing_cuts_within_alike_rows(spark):
+    """Of rows that are alike at a source's cut, as many are taken as the mix asks for."""
+    rows = [(1, "same words here", "a")] * 9 + [(k, "one two", "b") for k in range(20, 60)] + [(k, None, None) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit(1))
+    wanted = sum(r.copies for r in mixing.taken(scratch.stage(mixing.measured(docs), "records")).collect())
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == wanted
