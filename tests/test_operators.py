@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions.similarity import title_similarity
+from folioflow.functions.similarity import title_likeness
 from folioflow.operators import lifecycle, linkage, tables
 from folioflow.operators.progress import completion_estimate, words_per_day
 from folioflow.plans.checks import document_checks
@@ -83,7 +83,7 @@ def test_linkage_sees_all_pairs(spark):
         every = []
         for a, s in enumerate(x):
             for b, t in enumerate(y):
-                title, label = title_similarity(s, t), float(b % 3 == 0)
+                title, label = title_likeness(s, t), float(b % 3 == 0)
                 every.append((-round(0.72 * title + 0.18 * label + 0.1 * (a % 2) if weighted else title, 6), -title, -label * weighted, a, -b, b))
         taken_a, taken_b, best, greedy = set(), set(), {}, set()
         for p in sorted(p for p in every if -p[0] >= 0.4):
