@@ -18,6 +18,11 @@ def insert_new(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
     return stored.unionByName(batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti"))
 
 
+def load_in_order(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Append rows to a table in order, so that each file holds a range of it."""
+    rows.orderBy(*order).write.mode("append").parquet(path)
+
+
 def guarded_update(rows: DataFrame, targets: DataFrame, keys: list[str], column: str, before: str, after: str) -> DataFrame:
     """``column`` becomes ``after`` in targets where it is ``before``."""
     marked = rows.join(targets.select(*keys).distinct().withColumn("target_", F.lit(True)), keys, "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow import scratch
@@ -19,6 +23,51 @@ def read_loose_csv(spark: SparkSession, path: str, integers: list[str]) -> DataF
     return rows.withColumns({c: F.coalesce(F.expr(f"try_cast(`{c}` AS INT)"), F.lit(0)) for c in integers})
 
 
+def read_snapshot(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files whose header has the required names, and ``(path, length, sha256, row_count)`` of the files; no rows are an error."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').na.drop("all")
+    rows = rows.toDF(*(c.strip().removeprefix("\ufeff").strip('"') for c in rows.columns))
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"missing headers: {', '.join(missing)}")
+    if not (n := rows.count()):
+        raise ValueError("no data rows")
+    return rows, spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(n).alias("row_count"))
+
+
+#: Bytes of a JSON document at most.
+JSON_BYTES = 10 * 1024 * 1024
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("duplicate key")
+    return dict(pairs)
+
+
+def _json_error(content: bytes) -> str | None:
+    try:
+        json.loads(content, object_pairs_hook=_once)
+    except (ValueError, RecursionError) as e:
+        return "duplicate key" if str(e) == "duplicate key" else "malformed"
+    return None
+
+
+def check_json(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, error)`` of JSON documents: too large, malformed, or a key twice in one object; null if sound.
+
+    Links are followed by Spark's listing and can't be told from files.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    large = files.filter(F.col("length") > JSON_BYTES).select("path", F.lit("too large").alias("error"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "error": [_json_error(c) for c in pdf["content"]]})
+
+    scratch.send_code(spark)
+    return files.filter(F.col("length") <= JSON_BYTES).select("path", "content").mapInPandas(check, "path string, error string").unionByName(large)
+
+
 def read_json_records(spark: SparkSession, path: str, field: str) -> DataFrame:
     """The records of an array field of JSON documents."""
     return spark.read.json(path, multiLine=True).select(F.inline(field))
@@ -39,6 +88,18 @@ def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
     rows.select(*(F.coalesce(cell(c), F.lit("")).alias(c) for c in fields)).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_summary(rows: DataFrame, path: str, title: str, order: list[str]) -> None:
+    """A heading and a table in Markdown, as text; numbers to the right, rows in order, nulls blank."""
+    number = ("int", "bigint", "smallint", "tinyint", "double", "float", "decimal")
+    rule = [" ---: " if kind.startswith(number) else " --- " for _, kind in rows.dtypes]
+    head = [f"# {title}", "", f"| {' | '.join(rows.columns)} |", f"|{'|'.join(rule)}|"]
+    cells = (F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in rows.columns)
+    keys = F.struct(*order)
+    body = rows.select(F.lit(len(head)).alias("part"), keys.alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "part int, line string").select("part", F.lit(None).cast(body.schema["key"].dataType).alias("key"), "line")
+    top.unionByName(body).orderBy("part", "key").select("line").write.text(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path, ignoreNullFields=False)
 
