@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontamination, mixing, near_dedup, personal_data, quality, sharding, substring_dedup, token_output, toxicity, vector_search
+from folioflow.llm import decontamination, mixing, near_dedup, periodic_runs, personal_data, phrases, quality, sharding, substring_dedup, token_output, toxicity, vector_search
 
 OPERATORS = {
     "op1_token_ids": token_output,
@@ -15,6 +15,8 @@ OPERATORS = {
     "op8_vector_search": vector_search,
     "op9_personal_data": personal_data,
     "op10_quality": quality,
+    "op11_periodic_runs": periodic_runs,
+    "op13_collocations": phrases,
 }
 
 
