@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontamination, mixing, near_dedup, periodic_runs, personal_data, phrases, quality, sharding, substring_dedup, token_output, toxicity, vector_search
+from folioflow.llm import decontamination, mixing, near_dedup, ngram_join, periodic_runs, personal_data, phrases, quality, sharding, substring_dedup, token_output, toxicity, vector_search
 
 OPERATORS = {
     "op1_token_ids": token_output,
@@ -16,6 +16,7 @@ OPERATORS = {
     "op9_personal_data": personal_data,
     "op10_quality": quality,
     "op11_periodic_runs": periodic_runs,
+    "op12_ngram_join": ngram_join,
     "op13_collocations": phrases,
 }
 
