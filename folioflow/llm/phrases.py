@@ -35,7 +35,7 @@ SCORE = "(1000000BD * (cast(a AS decimal(16, 0)) * cast(a AS decimal(16, 0)))) d
 #: Parts of a language that are ranked apart before the best of each are ranked together.
 RANKED_APART = 32
 #: Bytes of text that are counted together; a longer text is counted alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Of each byte: 0 in a word, 1 between words, 2 between pieces; and the byte in lower case.
@@ -64,11 +64,11 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     fresh[bounds[:-1]] = True
     start = np.flatnonzero(inside & (fresh[:-1] | ~np.concatenate([[False], inside[:-1]])))
     kept = LOWER[raw[inside]]
-    place = np.concatenate([[0], np.cumsum(inside)])
-    offsets = np.concatenate([place[start], [len(kept)]]).astype(np.int64)
+    place = np.cumsum(inside)  # letters up to each byte, itself included
+    offsets = np.concatenate([place[start] - 1, [len(kept)]]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
     row = np.searchsorted(bounds, start, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(kind == 2)])
+    breaks = np.cumsum(kind == 2)
     follows = np.zeros(len(start), bool)
     follows[:-1] = (breaks[start[1:]] == breaks[start[:-1]]) & (row[1:] == row[:-1])
     return words, row, follows
