@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.catalog import query
-from folioflow.operators.progress import completion_estimate, completion_state, minutes_per_day
+from folioflow.operators.progress import minutes_per_day
 from folioflow.operators.tables import insert_new, latest
 from folioflow.scratch import table
 
@@ -24,9 +24,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SESSIONS = "s AS (SELECT event_id AS session_id, user_id, event_type AS book, event_id % 50 AS section, CAST(ts AS DATE) AS read_at, CAST(round(value * 60) AS BIGINT) AS seconds FROM events)"
 
 
-@query("minutes_per_day", f"WITH {SESSIONS} SELECT user_id, CAST(read_at AS VARCHAR) AS read_at, coalesce(round(sum(seconds) / 60.0, 1), 0) AS minutes FROM s GROUP BY 1, 2")
+@query("minutes_per_day", f"WITH {SESSIONS} SELECT user_id, CAST(read_at AS VARCHAR) AS read_at, coalesce(CAST((10 * sum(seconds) + 30) // 60 AS DOUBLE) / 10, 0) AS minutes FROM s GROUP BY 1, 2")
 def q_minutes_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minutes_per_day(sessions(spark, sf_dir)).withColumn("read_at", F.col("read_at").cast("string"))
+    return minutes_per_day(sessions(spark, sf_dir).withColumnRenamed("seconds", "duration_s")).withColumn("read_at", F.col("read_at").cast("string"))
 
 
 @query("session_dependencies", f"WITH {SESSIONS} SELECT book, count(*) AS sessions, count(DISTINCT user_id) AS users, count(DISTINCT section) AS sections, CAST(min(read_at) AS VARCHAR) AS first_date, CAST(max(read_at) AS VARCHAR) AS last_date FROM s GROUP BY book")
@@ -66,56 +66,6 @@ def reading_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.withColumn("rank", rank).filter("rank <= 15").select("user_id", "book", "section", "rank")
 
 
-@query(
-    "reader_state",
-    f"""
-    WITH {SESSIONS}, {PROGRESS}, m AS (SELECT user_id, round(sum(seconds) / 60.0, 1) AS minutes FROM s WHERE read_at = DATE '{AS_OF}' GROUP BY 1)
-    SELECT p.user_id, book, current_section, coalesce(minutes, 0) AS minutes, CASE WHEN book IN ('click', 'view') THEN coalesce(minutes, 0) >= 1 ELSE false END AS goal
-    FROM p LEFT JOIN m ON p.user_id = m.user_id
-    """,
-)
-def reader_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily goal holds in the modes that count minutes only."""
-    today = sessions(spark, sf_dir).filter(F.col("read_at") == F.lit(AS_OF).cast("date")).groupBy("user_id").agg(F.round(F.sum("seconds") / 60, 1).alias("minutes"))
-    rows = progress(spark, sf_dir).join(today, "user_id", "left").withColumn("minutes", F.coalesce("minutes", F.lit(0.0)))
-    return rows.select("user_id", "book", "current_section", "minutes", (F.col("book").isin("click", "view") & (F.col("minutes") >= 1)).alias("goal"))
-
-
-SIZES = "w AS (SELECT doc_id % 50 AS section, CAST(sum(n_chars) AS BIGINT) AS words FROM documents GROUP BY 1)"
-
-
-@query(
-    "completion_estimate",
-    f"""
-    WITH {SESSIONS}, {SIZES}, {PROGRESS}, d AS (
-      SELECT DISTINCT user_id, read_at, section FROM s WHERE read_at > DATE '{AS_OF}' - 7 AND read_at <= DATE '{AS_OF}'
-    ), day AS (
-      SELECT d.user_id, d.read_at, sum(words) AS words FROM d JOIN s ON s.user_id = d.user_id AND s.read_at = d.read_at AND s.section = d.section JOIN w ON w.section = d.section GROUP BY 1, 2
-    ), pace AS (SELECT user_id, avg(words) AS per_day FROM day GROUP BY 1),
-    r AS (SELECT p.user_id, p.book, coalesce(sum(w.words), 0) AS remaining FROM p LEFT JOIN w ON w.section > p.current_section GROUP BY 1, 2)
-    SELECT r.user_id, book, CAST(remaining AS BIGINT) AS remaining, round(coalesce(per_day, 2000), 4) AS per_day, CAST(ceil(remaining / coalesce(per_day, 2000)) AS BIGINT) AS days,
-           CAST(CAST(DATE '{AS_OF}' + CAST(ceil(remaining / coalesce(per_day, 2000)) AS INTEGER) AS DATE) AS VARCHAR) AS target
-    FROM r LEFT JOIN pace ON r.user_id = pace.user_id
-    """,
-)
-def q_completion_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("section")).agg(F.sum("n_chars").alias("words"))
-    return completion_estimate(progress(spark, sf_dir), sessions(spark, sf_dir), sizes, AS_OF).withColumn("target", F.col("target").cast("string"))
-
-
-@query(
-    "complete_transition",
-    f"""
-    WITH {SESSIONS}, {PROGRESS} , l AS (SELECT book, max(section) AS last_section FROM s GROUP BY 1)
-    SELECT user_id, p.book, greatest(current_section, least(current_section + 1, last_section)) AS next_section, current_section >= last_section AS completed,
-           CASE WHEN current_section >= last_section THEN CAST(last_read AS VARCHAR) END AS completed_at FROM p JOIN l ON p.book = l.book
-    """,
-)
-def complete_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = sessions(spark, sf_dir).groupBy("book").agg(F.max("section").alias("last_section"))
-    return completion_state(progress(spark, sf_dir), last).withColumn("completed_at", F.col("completed_at").cast("string"))
-
-
 @query(
     "upsert_latest",
     f"WITH {SESSIONS} SELECT user_id, book, session_id, section, seconds FROM s QUALIFY row_number() OVER (PARTITION BY user_id, book ORDER BY session_id DESC) = 1",

@@ -6,23 +6,11 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.similarity import title_likeness
 from folioflow.operators import lifecycle, linkage, tables
-from folioflow.operators.progress import completion_estimate, words_per_day
 from folioflow.plans.checks import document_checks
 from folioflow.sources import files
 from folioflow.streaming.progress import daily_minutes, event_stream, furthest
 
 
-def test_read_again_on_a_day_counts_again(spark):
-    day = dt.date(2024, 1, 19)
-    sessions = spark.createDataFrame([(1, "b", 0, day, 10), (1, "b", 0, day, 10), (1, "b", 1, day, 10)], "user_id long, book string, section long, read_at date, seconds long")
-    sizes = spark.createDataFrame([(0, 100), (1, 50), (2, 1000)], "section long, words long")
-    assert words_per_day(sessions, sizes, "2024-01-20").first().per_day == 250
-    progress = spark.createDataFrame([(1, "b", 1), (2, "b", 1)], "user_id long, book string, current_section long")
-    got = {r.user_id: r for r in completion_estimate(progress, sessions, sizes, "2024-01-20").collect()}
-    assert (got[1].remaining, got[1].days, got[1].target) == (1000, 4, dt.date(2024, 1, 24))
-    assert (got[2].per_day, got[2].days) == (2000.0, 1)
-
-
 def test_writes(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("c", 2), ("c", 2)], "k string, v int")
