@@ -7,6 +7,7 @@ bitmap costs time but no right result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow import scratch
@@ -35,6 +36,22 @@ def marked(rows: DataFrame, column: str, bits: DataFrame, flag: str, seed: int =
     return joined.withColumn(flag, F.coalesce(F.getbit(byte, slot % 8) == 1, F.lit(False))).drop("part_", "bits_")
 
 
+def packed(rows: DataFrame, column: str) -> np.ndarray:
+    """The bits of a column of hashes as BITS / 8 bytes, for ``has``; at most BITS / PER_ROW rows of 4 kB come to the driver."""
+    slot = F.pmod(F.col(column), F.lit(BITS))
+    found = rows.groupBy(F.floor(slot / PER_ROW).cast("int").alias("part")).agg(F.bitmap_construct_agg(slot % PER_ROW).alias("bits")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[part * PER_ROW // 8 : (part + 1) * PER_ROW // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (64 bits, signed or not) have their bit."""
+    slot = (hashes.view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``gone(gone_)``; a null key stays.
 

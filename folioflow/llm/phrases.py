@@ -28,9 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow import scratch
+from folioflow.llm import membership
 
-#: Bits that tell frequent parts: 4 MB, a fixed size, made of rows of PER_ROW bits.
-BITS, PER_ROW = 1 << 25, 1 << 15
 SCORE = "(1000000BD * (cast(a AS decimal(16, 0)) * cast(a AS decimal(16, 0)))) div (cast(l AS decimal(16, 0)) * cast(r AS decimal(16, 0)))"
 #: Parts of a language that are ranked apart before the best of each are ranked together.
 RANKED_APART = 32
@@ -85,11 +84,6 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes % np.uint64(BITS)).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
-
 def _counted(batches: Iterator[pa.RecordBatch], k: int, bits: Callable[[], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Counts of phrases of ``k`` words whose two parts of ``k - 1`` words have a bit, by slice."""
     for batch in batches:
@@ -111,7 +105,7 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int, bits: Callable[[], np.nd
                 first = np.flatnonzero(starts)
                 if k > 1:
                     shorter = _joined(hashes, np.arange(len(code) - k + 2), k - 1)
-                    known = _has(bits(), shorter)
+                    known = membership.has(bits(), shorter)
                     first = first[known[first] & known[first + 1]]
                 gram = code[first]
                 for j in range(1, k):
@@ -142,22 +136,12 @@ def level(docs: DataFrame, k: int, frequent: DataFrame | None = None) -> DataFra
     if frequent is None:
         bits = lambda: None
     else:
-        sent = docs.sparkSession.sparkContext.broadcast(_bitmap(frequent))
+        sent = docs.sparkSession.sparkContext.broadcast(membership.packed(frequent, "hash"))
         bits = lambda: sent.value
     counts = docs.mapInArrow(lambda it: _counted(it, k, bits), "lang string, phrase string, hash long, f long")
     return counts.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("f").alias("f"))
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bits of ``frequent(hash)``, BITS / 8 bytes; at most BITS / PER_ROW rows come to the driver."""
-    slot = F.pmod(F.col("hash"), F.lit(BITS))
-    rows = frequent.groupBy(F.floor(slot / PER_ROW).cast("int").alias("part")).agg(F.bitmap_construct_agg(slot % PER_ROW).alias("bits")).toArrow()
-    out = np.zeros(BITS // 8, np.uint8)
-    for part, bits in zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[part * PER_ROW // 8 : (part + 1) * PER_ROW // 8] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def levels(docs: DataFrame, longest: int, least: int, room: scratch.Room) -> tuple[list[DataFrame], DataFrame]:
     """For each length up to ``longest`` the phrases with a count of ``least`` or more, and ``(lang, n)``, all words."""
     scratch.send_code(docs.sparkSession)

@@ -184,7 +184,7 @@ def corpus(seed, families=6, copies=14):
 def test_join_equals_brute_force(spark, monkeypatch, seed, light):
     """With few light groups, what is left goes through families and blocks."""
     monkeypatch.setattr(ngram_join, "LIGHT", light)
-    monkeypatch.setattr(ngram_join, "SPREAD", 300)
+    monkeypatch.setattr(ngram_join, "ROWS", 12)
     rows = corpus(seed)
     rows += [(rows[2][0], rows[9][1]), (None, rows[5][1]), rows[6]]
     df = clashing(spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], COLUMNS), "node token part need tokens n gone_ key_ maybe_ component")
@@ -203,8 +203,11 @@ def test_prefixes_lose_no_pair(how):
         two = np.unique(np.concatenate([base, rng.integers(0, 5000, rng.integers(0, 20))])).astype(np.uint64)
         common = len(np.intersect1d(one, two))
         if 100 * common >= how.percent * (len(one) + len(two) - common):
-            (m, x), (k, y) = (ngram_join.prefix(s, counts, how.percent) for s in (one, two))
-            assert len(np.intersect1d(x, y)) >= min(m, k)
+            (m, _, x), (k, _, y) = (ngram_join.prefix(s, counts, how.percent) for s in (one, two))
+            shared = len(np.intersect1d(x, y))
+            assert shared >= min(m, k)
+            rest = max(len(one) - len(x), len(two) - len(y))
+            assert (100 + how.percent) * (shared + rest) >= how.percent * (len(one) + len(two))
 
 
 def test_costly_prefixes_ask_for_more_matches():
@@ -280,7 +283,7 @@ def test_counts_beyond_64_bits(spark):
 def test_bits_set_by_chance_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(k, t, lang, None, 1) for k, (lang, t) in enumerate(prose(3))], COLUMNS)
     right = sorted(map(tuple, phrases.collocations(df).collect()))
-    monkeypatch.setattr(phrases, "_has", lambda bits, hashes: np.ones(len(hashes), bool))
+    monkeypatch.setattr(phrases.membership, "has", lambda bits, hashes: np.ones(len(hashes), bool))
     assert right and sorted(map(tuple, phrases.collocations(df).collect())) == right
 
 
