@@ -69,13 +69,21 @@ def uppercase_share(column) -> Column:
 
 def word_order_ratio(expected: str | None, found: str | None) -> float:
     """Matching blocks of significant words; 0 if either has none."""
-    a, b = significant_words(expected), significant_words(found)
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    return ordered_ratio(significant_words(expected), significant_words(found))
 
 
 def opening_ratio(expected: str | None, found: str | None) -> float:
     """Matching blocks of characters with the first 500, or five times the expected ones, of what is found."""
-    a, b = search_text(expected), search_text(found)
+    return sequence_ratio(search_text(expected), search_text(found))
+
+
+def ordered_ratio(a: list[str], b: list[str]) -> float:
+    """``word_order_ratio`` of significant words."""
+    return SequenceMatcher(None, a, b).ratio() if len(a) and len(b) else 0.0
+
+
+def sequence_ratio(a: str, b: str) -> float:
+    """``opening_ratio`` of normalised texts."""
     return SequenceMatcher(None, a, b[: max(500, 5 * len(a))]).ratio() if a and b else 0.0
 
 
