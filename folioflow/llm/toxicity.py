@@ -1,21 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of one length are trained on a bounded sample of labelled documents. Both hold what was
-trained on windows of ordinary text; the toxic one also has what was trained on toxic text, of which only words are left
-whose rate among toxic documents differs from that among ordinary ones (``CONTRAST``), and the ordinary one has a blank
-of that length, so that they differ in nothing else. A document is cut into windows of ``WINDOW`` words, each of which is
-compressed with both. The bytes that the toxic dictionary saves, largest first, are the features of a logistic model,
-which is calibrated on sampled documents that the dictionaries were not trained on.
+Pairs of zstandard dictionaries of equal size are trained on a bounded sample of labelled documents: one on windows of toxic documents, one on
+as many bytes of windows of ordinary ones, both windows as they are, words and all. Documents are split in two halves in ``SPLITS``
+ways by bits of a hash, and each half of each split has a pair of its own. A document is cut into windows of ``WINDOW``
+words, which are compressed with both dictionaries of a pair; the difference of the lengths is what the toxic one saves.
 
-Rates, not presence, choose words, so that some wrong labels or quotations don't make a toxic word worthless.
+What is common beside toxic words is by chance in one dictionary and not in the other, so a single pair tells little. But
+that chance is another one in each pair, and what one document has alone is in one half of a split only, while what many toxic
+documents share is in nearly all halves. So a window counts by the second least of its savings over all pairs, and
+windows that two pairs save nothing on are not looked at further, which leaves two pairs to most.
 
-Windows are compressed by the fast strategy without entropy coding of literals, so that a word that only one
-dictionary knows shows in whole bytes, and behind a phrase that both know, so that none is stored raw.
+The largest savings of a document are the features of a logistic model, which is calibrated on sampled documents that no
+dictionary was trained on; the threshold is fixed. A dictionary tells what occurs, not how often: toxic texts that are labelled
+ordinary put their words into the ordinary dictionaries too.
 
-Sample: at most ``SAMPLE`` labelled rows, by a hash of the doc_id, of which texts that are alike count once. Their whole
-texts are measured in tasks; what goes to the driver are at most ``CHOSEN`` words, one window of each of ``WINDOWS``
-ordinary documents, the chosen words of each toxic one, and the features of those for calibration. All documents
-are scored over their whole text.
+Windows are compressed by the fast strategy without entropy coding of literals, so that a word that only one dictionary
+knows shows in whole bytes, and behind a phrase that both know, so that none is stored raw.
+
+Sample: at most ``SAMPLE`` labelled rows, by a hash of the doc_id, of which texts that are alike count once. Windows of these, at
+most ``TRAINED_BYTES`` of a class and the same of both, are picked by their hash and brought together by pair, where a task trains its two
+dictionaries; the dictionaries and the features for calibration go to the driver. All documents are scored over their whole text.
 
 Defined results: a null or empty text has no windows and the score of a text without savings; labels that
 are null, or of no document, are not used; a doc_id with several labels is used with each; without
@@ -26,7 +30,6 @@ names, don't matter and are carried by ``clean_documents``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,20 +42,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioflow import scratch
 from folioflow.llm.decontamination import split_words
 
-WINDOW = 8
+WINDOW = 10
 SAMPLE = 20_000
 THRESHOLD = 0.3
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
-#: Ordinary text to train on for each byte of dictionary, at least, so that it holds what texts share and no text whole.
-SAMPLES_PER_BYTE = 8
-#: Ordinary windows to train on, their words, and toxic words to train on, at most.
-WINDOWS, LONG_WINDOW, CHOSEN = 8000, 64, 5000
-#: A word is chosen if the standard score of the difference of its rates is so high, and so much of the highest one.
-LEAST_SCORE, CONTRAST = 4.0, 0.25
+#: Ways to split documents in halves, and how many pairs may see no savings in a window.
+SPLITS, DISSENT = 4, 1
+#: Bytes of windows of a class that are trained on; bytes of a dictionary, and what it is trained on for each at least.
+TRAINED_BYTES, DICTIONARY_BYTES, SAMPLES_PER_BYTE = 4 << 20, 256 << 10, 3
+#: Bytes of the segments that the trainer picks, and of what it counts in them.
+SEGMENT, COUNTED = 16, 6
 #: Blank bytes in front of a dictionary: they make its hash table sparse, so that entries don't displace each other.
 BLANK = 3 * 170_000
+#: What both dictionaries of a pair end with and every window begins with.
+PHRASE = b" zqzqzq qzqzqz "
 #: A trained dictionary's content follows its three first offsets, 1, 4 and 8.
 FIRST_OFFSETS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
+#: The trainer cuts as many bytes off its best segments as its header has; this text, in a sample after every third, is cut instead.
+CUT = bytes(np.random.default_rng(2).choice(np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8), 256))
 BEST = 3
 
 
@@ -60,11 +66,15 @@ def words_of(text: str | None) -> list[bytes]:
     return split_words(text.encode("utf-8", "replace")) if text else []
 
 
+def windows_of(text: str | None) -> list[bytes]:
+    words = words_of(text)
+    return [b" %b " % b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+
+
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    phrase: bytes
+    #: Header, ordinary and toxic content of each pair, the contents without blanks.
+    pairs: list[tuple[bytes, bytes, bytes]]
     weights: list[float]
     constant: float | None = None
 
@@ -74,29 +84,40 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.codecs = [self._codec(d) for d in (model.ordinary, model.toxic)] if model.constant is None else []
+        self.codecs = [tuple(self._codec(header + b"\0" * BLANK + content + PHRASE) for content in contents) for header, *contents in model.pairs]
+        self.dissent = min(DISSENT, len(self.codecs) - 1)
 
     @staticmethod
     def _codec(dictionary: bytes):
         how = zstandard.ZstdCompressionParameters(
-            window_log=20, hash_log=20, chain_log=6, search_log=1, min_match=6, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False, write_checksum=False
+            window_log=20, hash_log=20, chain_log=6, search_log=1, min_match=5, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False, write_checksum=False
         )
         data = zstandard.ZstdCompressionDict(dictionary)
         data.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress
 
-    def savings(self, text: str | None) -> list[int]:
-        """By window, the bytes that the toxic dictionary saves."""
-        words = words_of(text)
-        ordinary, toxic = self.codecs
-        windows = [b"%b %b " % (self.model.phrase, b" ".join(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)]
-        return [len(ordinary(w)) - len(toxic(w)) for w in windows]
+    def savings(self, window: bytes) -> tuple[int, int, int] | None:
+        """What nearly all pairs save at least, what all save, and what half of them do; None if more than ``dissent`` save nothing."""
+        found, against, text = [], 0, PHRASE + window
+        for ordinary, toxic in self.codecs:
+            saved = len(ordinary(text)) - len(toxic(text))
+            found.append(saved)
+            if saved <= 0:
+                against += 1
+                if against > self.dissent:
+                    return None
+        found.sort()
+        return found[self.dissent], found[0], found[len(found) // 2]
 
     def features(self, text: str | None) -> list[float]:
-        """The largest savings, the logarithm of the number of windows, and the mean."""
-        savings = self.savings(text)
-        best = (sorted(savings, reverse=True)[:BEST] + [0] * BEST)[:BEST]
-        return [1.0, *map(float, best), float(np.log1p(len(savings))), sum(savings) / max(1, len(savings))]
+        """The largest savings, the logarithm of the number of windows, and sums over windows by the root of their number."""
+        windows = windows_of(text)
+        saved = [s for w in windows if (s := self.savings(w))]
+        by_kind = [sorted(x, reverse=True) for x in zip(*saved, strict=True)] or [[], [], []]
+        nearly, every, half = ((x + [0] * BEST)[:BEST] for x in by_kind)
+        root = max(1.0, len(windows) ** 0.5)
+        sums = [sum(by_kind[0]) / root, *(sum(x >= k for x in by_kind[0]) / root for k in (3, 5))]
+        return [1.0, *map(float, nearly), float(every[0]), float(half[0]), float(np.log1p(len(windows))), *sums]
 
     def score(self, text: str | None) -> float:
         if self.model.constant is not None:
@@ -116,65 +137,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _content(samples: list[bytes], size: int, **how) -> tuple[bytes, bytes]:
+def _content(samples: list[bytes], size: int) -> tuple[bytes, bytes]:
     """Header and content of a trained dictionary; raw text if there is too little to train on."""
     try:
-        trained = zstandard.train_dictionary(size, samples, **how).as_bytes()
+        given = [x for k in range(0, len(samples), 3) for x in (*samples[k : k + 3], CUT)]
+        trained = zstandard.train_dictionary(size + len(CUT), given, k=SEGMENT, d=COUNTED).as_bytes()
         at = trained.index(FIRST_OFFSETS) + len(FIRST_OFFSETS)
         return trained[:at], trained[at:]
     except (zstandard.ZstdError, ValueError):
         return b"", b"".join(samples)[:size]
 
 
-def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> Model:
-    """From ordinary windows and from the chosen words of toxic documents, both in no order of content, as the trainer looks
-    at the first part only; without weights."""
-    header, base = _content(ordinary, min(ORDINARY_BYTES, max(1024, sum(map(len, ordinary)) // SAMPLES_PER_BYTE)))
-    several = b"".join(dict.fromkeys(toxic))
-    own = several if len(several) <= TOXIC_BYTES else _content(toxic, TOXIC_BYTES, k=24, d=6)[1]
-    own += b" " * (-len(own) % 3)
-    front, phrase = header + b"\0" * BLANK + base, base[-48:]
-    last = b" %b " % phrase  # the compressor doesn't look up the last bytes of a dictionary
-    return Model(front + b"\0" * len(own) + last, front + own + last, phrase, [])
+def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """A pair, both of one size and trained on as many bytes of windows."""
+    n = min(sum(map(len, ordinary)), sum(map(len, toxic)))
+    header, contents = b"", []
+    for samples in (toxic, ordinary):
+        kept = np.cumsum([len(s) for s in samples]) - len(samples[0]) < n
+        header, content = _content([s for s, k in zip(samples, kept, strict=True) if k], max(1024, min(DICTIONARY_BYTES, n // SAMPLES_PER_BYTE)))
+        contents.append(content)
+    size = max(map(len, contents))
+    return header, *(c.rjust(size, b" ") for c in reversed(contents))
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of each label a word is, by batch."""
-    for batch in batches:
-        seen = (Counter(), Counter())
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label_").to_pylist(), strict=True):
-            seen[label].update(set(words_of(text)))
-        every = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in seen)], ["word", "ordinary", "toxic"])
-
-
-def contrasting_words(rows: DataFrame) -> set[bytes]:
-    """Words of ``rows(text, label_)`` that are in a larger share of toxic documents."""
-    sizes = {r["label_"]: r["count"] for r in rows.groupBy("label_").count().collect()}
-    m, n = float(sizes[0]), float(sizes[1])
-    counts = rows.mapInArrow(_spread, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    share = (F.col("ordinary") + F.col("toxic")) / (n + m)
-    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n + 1 / m))
-    scored = counts.filter("toxic > 1").select("word", ((F.col("toxic") / n - F.col("ordinary") / m) / spread).alias("score"))
-    best = scored.filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(CHOSEN).collect()
-    return {bytes(r.word) for r in best if r.score >= CONTRAST * best[0].score}
-
-
-def _training(batches: Iterator[pa.RecordBatch], chosen: set[bytes]) -> Iterator[pa.RecordBatch]:
-    """Of an ordinary document the window with the least hash of those without chosen words, of a toxic one its chosen words."""
+def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each text, with a hash."""
     for batch in batches:
-        hashes, windows, labels = [], [], []
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label_").to_pylist(), strict=True):
-            words = words_of(text)
-            if label:
-                own = [(0, list(dict.fromkeys(w for w in words if w in chosen)))]
-            else:
-                own = [(xxhash.xxh64_intdigest(b" ".join(w)) >> 1, w) for i in range(0, len(words), LONG_WINDOW) for w in [words[i : i + LONG_WINDOW]] if chosen.isdisjoint(w)]
-            for h, w in [min(own)] if own and own[0][1] else []:
-                hashes.append(h)
-                windows.append(b" %b " % b" ".join(w))
-                labels.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(windows, pa.binary()), pa.array(labels, pa.int32())], ["hash", "window", "label_"])
+        windows = [windows_of(t) for t in batch.column("text").to_pylist()]
+        flat = [w for own in windows for w in own]
+        owner = pa.array(np.repeat(np.arange(len(windows)), [len(own) for own in windows]))
+        hashes = [xxhash.xxh64_intdigest(w) >> 1 for w in flat]
+        yield pa.RecordBatch.from_arrays([batch.column("bits").take(owner), batch.column("label_").take(owner), pa.array(hashes, pa.int64()), pa.array(flat, pa.binary())], ["bits", "label_", "hash", "window"])
+
+
+def _trained(table: pa.Table) -> pa.Table:
+    """The dictionaries of one pair."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("label_", "hash", "window")), strict=True))
+    # equal windows must not stand together, or the trainer takes the text for exhausted
+    rows = [rows[k] for k in np.random.default_rng(1).permutation(len(rows))]
+    header, ordinary, toxic = dictionaries(*([w for label, _, w in rows if label == own] for own in (0, 1))) if {r[0] for r in rows} == {0, 1} else (b"", b"", b"")
+    return pa.table([table.column("pair").slice(0, 1), *(pa.array([x], pa.binary()) for x in (header, ordinary, toxic))], ["pair", "header", "ordinary", "toxic"])
+
+
+def _pairs(train: DataFrame, room: scratch.Room) -> list[tuple[bytes, bytes, bytes]]:
+    """A pair of dictionaries for each half of each split of ``train(text, label_)``."""
+    hashed = train.select("text", "label_", F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 8).alias("bits"))
+    windows = room.stage(hashed.mapInArrow(_windowed, "bits long, label_ int, hash long, window binary"), "windows")
+    sizes = {r["label_"]: r["n"] for r in windows.groupBy("label_").agg(F.sum(F.octet_length("window")).alias("n")).collect()}
+    most = min(TRAINED_BYTES, *(sizes.get(label, 0) for label in (0, 1)))
+    share = F.when(F.col("label_") == 1, most / max(1, sizes.get(1, 0))).otherwise(most / max(1, sizes.get(0, 0)))
+    some = windows.filter(F.col("hash") < share * float(1 << 63))
+    halves = F.array(*(2 * k + F.shiftright("bits", k).bitwiseAND(1) for k in range(SPLITS)))
+    found = some.withColumn("pair", F.explode(halves)).groupBy("pair").applyInArrow(_trained, "pair long, header binary, ordinary binary, toxic binary")
+    return [(bytes(r.header), bytes(r.ordinary), bytes(r.toxic)) for r in sorted(found.collect(), key=lambda r: r.pair) if r.toxic]
 
 
 def _featured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -184,18 +199,15 @@ def _featured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("label_"), pa.array(found, pa.list_(pa.float64()))], ["label_", "features"])
 
 
-def fit(rows: DataFrame) -> Model:
+def fit(rows: DataFrame, room: scratch.Room) -> Model:
     """``rows(text, label_)``, each text once; a third, by a hash of the text, is for calibration only."""
     fold = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(3))
     train, hold = rows.filter(fold != 0), rows.filter(fold == 0)
     seen = {(r["held"], r["label_"]): r["count"] for r in rows.groupBy((fold == 0).alias("held"), "label_").count().collect()}
-    if len(seen) < 4:
-        return Model(b"", b"", b"", [], sum(n for (_, y), n in seen.items() if y) / max(1, sum(seen.values())))
-    chosen = contrasting_words(train)
-    samples = train.mapInArrow(lambda it: _training(it, chosen), "hash long, window binary, label_ int")
-    ordinary = [bytes(r.window) for r in samples.filter("label_ = 0").orderBy("hash", "window").limit(WINDOWS).collect()]
-    toxic = sorted((bytes(r.window) for r in samples.filter("label_ = 1").collect()), key=xxhash.xxh64_intdigest)
-    model = dictionaries(ordinary, toxic)
+    pairs = _pairs(train, room) if len(seen) == 4 else []
+    if not pairs:
+        return Model([], [], sum(n for (_, y), n in seen.items() if y) / max(1, sum(seen.values())))
+    model = Model(pairs, [])
     sent = rows.sparkSession.sparkContext.broadcast(model)
     found = hold.mapInArrow(lambda it: _featured(it, sent.value), "label_ int, features array<double>").toArrow()
     y = found.column("label_").to_numpy().astype(float)
@@ -229,7 +241,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, key_, score)``; key_ is a hash of the text."""
     scratch.send_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # under 2 MB
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some 4 MB
     return docs.select("doc_id", F.xxhash64("text").alias("key_"), "text").mapInArrow(lambda it: _scored(it, sent.value), f"doc_id {kind}, key_ long, score double")
 
 
@@ -239,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     sample = labelled_sample(labels.filter(~is_held_out()), "toxic", most).filter("label_ IN (0, 1)")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label_")
     with scratch.Room(docs.sparkSession) as room:
-        return fit(room.stage(rows.dropDuplicates(["text", "label_"]), "labelled"))
+        return fit(room.stage(rows.dropDuplicates(["text", "label_"]), "labelled"), room)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -250,7 +262,7 @@ def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose score reaches the threshold: one pass over whole rows, without a join."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # under 2 MB
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # some 4 MB
     return docs.mapInArrow(lambda it: _clean(it, sent.value, threshold), docs.schema)
 
 

@@ -479,33 +479,40 @@ def test_drifted_map(spark):
     assert all(r.shard == r.now for r in first.select("virtual_slot", "shard").join(sharding.drifted_map(first, sharding.slot_sizes(rows), 40).withColumnRenamed("shard", "now"), "virtual_slot").collect())
 
 
-def test_contrasting_words(spark):
-    """Chosen words equal those of a plain count; some wrong labels don't change what is said of a toxic word."""
+def test_dictionaries_are_of_one_size(spark):
+    """Both are trained on whole windows and as many bytes; each knows what its own class says."""
+    rng = random.Random(3)
+    windows = [f" {sentence(rng, 10)} ".encode() for _ in range(3000)]
+    toxic = [w.replace(b" ", b" scoundrel ", 1) for w in windows[:900]]
+    header, *contents = toxicity.dictionaries(windows[900:], toxic)
+    assert len(contents[0]) == len(contents[1]) > 1024 and header
+    assert b"scoundrel" in contents[1] and b"scoundrel" not in contents[0]
+    header, *contents = toxicity.dictionaries([b" a b "], [b" c d "])  # too little to train on
+    assert not header and len(contents[0]) == len(contents[1])
+
+
+def test_toxicity_by_agreement(spark):
+    """Reruns agree, and a window counts only if nearly all pairs save something."""
     rng = random.Random(3)
     rows = []
     for k in range(300):
         words = sentence(rng, 40).split()
         if k % 3 == 0:
             words[5:5] = ["wretched", "Scoundrel,"]
-        rows.append((" ".join(words), int(k % 3 == 0 and k % 30 != 0)))
+        rows.append((" ".join(words), int(k % 3 == 0)))
     rows += [("", 0), ("long " * 30_000, 0)]
     table = spark.createDataFrame(rows, "text string, label_ int")
-    count = (Counter(), Counter())
-    for t, y in rows:
-        count[y].update(set(re.findall(rb"[a-z0-9]+", t.lower().encode())))
-    n, m = sum(y for _, y in rows), sum(1 - y for _, y in rows)
-    score = {}
-    for w, a in count[1].items():
-        if a > 1:
-            p = (a + count[0][w]) / (n + m)
-            score[w] = (a / n - count[0][w] / m) / max(1e-9, p * (1 - p)) ** 0.5 / (1 / n + 1 / m) ** 0.5
-    wanted = {w for w, s in score.items() if s >= 4 and s >= 0.25 * max(score.values())}
-    assert toxicity.contrasting_words(table) == wanted == {b"wretched", b"scoundrel"}
-    model = toxicity.fit(table)
+    with scratch.Room(spark) as room:
+        model, again = toxicity.fit(table, room), toxicity.fit(table.repartition(3), room)
+        assert toxicity.fit(table.filter("label_ = 0"), room).constant == 0.0
+    assert model == again and len(model.pairs) == 2 * toxicity.SPLITS
     scorer = toxicity.Scorer(model)
     text = sentence(rng, 40)
-    assert scorer.score(text) + 0.2 < scorer.score(f"{text} such wretched and scoundrel talk of all here and there") and toxicity.fit(table).weights == model.weights
+    assert scorer.score(text) + 0.2 < scorer.score(f"{text} such wretched and scoundrel talk of all here and there")
     assert scorer.score(None) == scorer.score("")
+    saved = scorer.savings(b" such wretched and scoundrel talk ")
+    assert saved and saved[1] <= saved[0] <= saved[2] and saved[0] > 0
+    assert sum(scorer.savings(f" {sentence(rng, 10)} ".encode()) is None for _ in range(50)) > 40
 
 
 def test_membership_is_exact_with_a_full_bitmap(spark, monkeypatch):
