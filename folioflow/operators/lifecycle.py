@@ -66,3 +66,45 @@ def authorised(required: Column, roles: Column, *flags: Column) -> Column:
     for f in flags:
         out = out & F.coalesce(f, F.lit(False))
     return out
+
+
+#: Fixed values of the audit of reviewed boundaries.
+REVIEWED_LABEL = "sha256-v1-length-delimited-reviewed-boundary-event-key"
+REVIEWED_EVENT = "reading-segment-reviewed-boundary."
+REVIEWED_TABLE, REVIEWED_VERSION = "content_staging.reading_segments", "1.0.0"
+REVIEWED_STATUSES = {"status-advanced": ("boundary-review", "content-review"), "status-rollback": ("content-review", "boundary-review")}
+REVIEWED_KEY = ("package_id", "event_action", "run_id", "decision_id", "book_id", "segment_key", "event_version")
+REVIEWED_DETAILS = (
+    "package_id", "package_version", "event_version", "event_action", "decision_id", "run_id", "book_id", "segment_key", "previous_approval_status",
+    "resulting_approval_status", "target_table", "target_identity", "authority_manifest_hash", "package_hash",
+)
+
+
+def reviewed_event_key() -> Column:
+    """The key of a reviewed event from its own columns, each with its length."""
+    parts = [F.concat(F.lit(f"|{name}="), F.length(F.col(name).cast("string")).cast("string"), F.lit(":"), F.col(name).cast("string")) for name in REVIEWED_KEY]
+    return F.sha2(F.concat(F.lit(REVIEWED_LABEL), *parts), 256)
+
+
+def contract_violations() -> Column:
+    """Names of what a reviewed event breaks, by name and comma-joined: its columns, its recomputed key, and each of its details.
+
+    ``details`` is JSON; a detail that is absent or null breaks its rule.
+    """
+    said = lambda name: F.get_json_object("details", f"$.{name}")
+    same = {name: said(name) == F.col(name).cast("string") for name in ("package_id", "event_version", "event_action", "decision_id", "run_id", "book_id", "segment_key")}
+    hashes = {name: said(name).rlike("^[a-f0-9]{64}$") for name in ("authority_manifest_hash", "package_hash")}
+    before, after = said("previous_approval_status"), said("resulting_approval_status")
+    statuses = F.lit(False)
+    for action, (one, two) in REVIEWED_STATUSES.items():
+        statuses = statuses | ((F.col("event_action") == action) & (before == one) & (after == two))
+    identity = F.get_json_object("details", "$.target_identity")
+    whole = F.map_from_entries(F.array(*(F.struct(F.lit(name), F.col(name).cast("string")) for name in ("run_id", "book_id", "segment_key"))))
+    rules = same | hashes | {
+        "package_version": said("package_version") == REVIEWED_VERSION, "target_table": said("target_table") == REVIEWED_TABLE, "statuses": statuses,
+        "target_identity": F.coalesce(F.map_entries(F.from_json(identity, "map<string,string>")), F.array()) == F.map_entries(whole),
+        "event_key": F.col("event_key") == reviewed_event_key(), "event_type": F.col("event_type") == F.concat(F.lit(REVIEWED_EVENT), "event_action"), "segment_key_form": F.col("segment_key").rlike("^[a-f0-9]{20,64}$"),
+        "event_version_number": F.col("event_version") == 1, "event_action_known": F.col("event_action").isin(*REVIEWED_STATUSES),
+    }
+    broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in sorted(rules.items())]
+    return F.concat_ws(",", *broken)
