@@ -1,3 +1,3 @@
 """Queries over the input tables, by theme."""
 
-from folioflow.plans import anchors, audits, checks, json_values, lines, pairs, progress, reading, rules, segments, structure  # noqa: F401
+from folioflow.plans import anchors, audits, checks, constraints, json_values, lines, pairs, progress, reading, rules, segments, structure  # noqa: F401
