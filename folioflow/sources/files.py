@@ -6,15 +6,82 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow import scratch
 
 
+def _split_fields(record: str) -> list[str]:
+    """The cells of one record. Between two quoted pieces an empty one is a doubled quote; carriage returns count in quotes only."""
+    pieces = record.split('"')
+    fields, last = [""], len(pieces) - 1
+    for k, piece in enumerate(pieces):
+        if k % 2:
+            fields[-1] += piece
+        elif not piece and 0 < k < last:
+            fields[-1] += '"'
+        else:
+            head, *more = piece.replace("\r", "").split(",")
+            fields[-1] += head
+            fields += more
+    return fields
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, record, fields, closed)`` of CSV files of any size, each read in as many splits as Spark cuts it into.
+
+    Whether a line begins within quotes depends on the number of quotes before it only: each split gives the number of its quotes
+    and, for both states that it may begin in, of the records that begin in it; a running sum over the splits of a file tells its true state
+    and first record, and a window within a split tells those of its lines. ``record`` counts from 0, blank ones too; the last one of a
+    file isn't ``closed`` if a quote is left open.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")
+    )
+    lines = lines.withColumn("quotes", F.regexp_count("text", F.lit('"')).cast("long"))
+    inside = W.partitionBy("path", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.withColumn("before", F.coalesce(F.sum("quotes").over(inside), F.lit(0)) % 2)
+    blocks = lines.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"), F.count_if(F.col("before") == 0).alias("even"), F.count_if(F.col("before") == 1).alias("odd"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("state", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    begun = F.when(F.col("state") == 0, F.col("even")).otherwise(F.col("odd"))
+    blocks = blocks.withColumn("first", F.coalesce(F.sum(begun).over(earlier), F.lit(0))).select("path", "block", "state", "first")
+    lines = lines.join(blocks, ["path", "block"]).withColumn("starts", ((F.col("before") + F.col("state")) % 2 == 0).cast("long"))
+    upto = W.partitionBy("path", "block").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lines = lines.withColumn("record", F.col("first") + F.sum("starts").over(upto) - 1)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n")
+    records = lines.groupBy("path", "record").agg(whole.alias("text"), (F.sum("quotes") % 2 == 0).alias("closed"))
+    text = F.when(F.col("record") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(_split_fields)
+
+    scratch.send_code(spark)
+    return records.select("path", "record", F.pandas_udf(split, "array<string>")(text).alias("fields"), "closed")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Strict: quotes, doubled quotes and line breaks in cells; a row of another width or type fails the read, a header of other names too."""
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
-    return rows.na.drop("all")
+    """Strict: quotes, doubled quotes and line breaks in cells; blank rows are dropped, empty cells are null.
+
+    A quote that is left open, a row of another width, a cell of another type, a header of other names or twice the same, and files without
+    any row fail the read, with the file, the record (from 0) and the column of the first errors.
+    """
+    kinds = spark.createDataFrame([], schema).schema
+    records = csv_records(spark, path)
+    records = scratch.stage(records.filter(F.exists("fields", lambda x: F.trim(x) != "") | ~F.col("closed")), "csv")
+    firsts = records.groupBy("path").agg(F.min(F.struct("record", "fields")).alias("m")).select("path", F.col("m.record").alias("header"), F.transform("m.fields", lambda x: F.trim(x)).alias("names"))
+    cells = records.join(firsts, "path").filter(F.col("record") > F.col("header"))
+    typed = [F.nullif(F.get("fields", k), F.lit("")).try_cast(f.dataType).alias(f.name) for k, f in enumerate(kinds)]
+    cell = lambda k, f: (F.nullif(F.get("fields", k), F.lit("")).isNotNull()) & F.nullif(F.get("fields", k), F.lit("")).try_cast(f.dataType).isNull()
+    wrong = F.coalesce(*(F.when(cell(k, f), F.lit(f"no {f.dataType.simpleString()} in {f.name}")) for k, f in enumerate(kinds)))
+    problem = F.when(~F.col("closed"), "a quote is left open").when(F.size("fields") != len(kinds), F.concat(F.size("fields").cast("string"), F.lit(f" cells instead of {len(kinds)}"))).otherwise(wrong)
+    header = F.when(F.size(F.array_distinct("names")) != F.size("names"), "a name twice").when(F.array_join("names", "\n") != "\n".join(kinds.names), "other names")
+    errors = records.filter("NOT closed").select("path", "record", F.lit("a quote is left open").alias("problem")).unionByName(firsts.select("path", F.col("header").alias("record"), header.alias("problem")))
+    errors = errors.unionByName(cells.select("path", "record", problem.alias("problem"))).filter("problem IS NOT NULL").distinct()
+    found = errors.orderBy("path", "record", "problem").limit(5).collect()
+    if found or not cells.limit(1).count():
+        raise ValueError("; ".join(f"{r.path}, record {r.record}: {r.problem}" for r in found) or f"{path}: no rows")
+    return cells.select(*typed)
 
 
 def read_loose_csv(spark: SparkSession, path: str, integers: list[str]) -> DataFrame:
