@@ -133,17 +133,26 @@ def paragraph_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "duplicate_content",
-    r"""
-    SELECT md5(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS content_md5, lang, count(*) AS copies, list_sort(list(doc_id)) AS doc_ids
-    FROM documents GROUP BY 1, 2 HAVING count(*) > 1
-    """,
-)
+CONTENT = r"lower(regexp_replace(trim(text), '\s+', ' ', 'g'))"
+
+
+@query("duplicate_content", f"SELECT md5({CONTENT}) AS content_md5, lang, count(*) AS copies, min(doc_id) AS first_doc, min(left({CONTENT}, 80)) AS preview FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections whose normalised content occurs more than once."""
+    """Contents that several sections have, with the first of them; ``duplicate_members`` has all."""
+    start = F.left(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")), F.lit(80))
     rows = table(spark, sf_dir, "documents").groupBy(fingerprint("text").alias("content_md5"), "lang")
-    return rows.agg(F.count("*").alias("copies"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids")).filter("copies > 1")
+    return rows.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(start).alias("preview")).filter("copies > 1")
+
+
+@query(
+    "duplicate_members",
+    f"SELECT doc_id, lang, content_md5, first_doc FROM (SELECT doc_id, lang, md5({CONTENT}) AS content_md5, min(doc_id) OVER w AS first_doc, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY lang, md5({CONTENT}))) WHERE n > 1",
+)
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section whose content others have too, a row each; a group of any size is joined with its one row of ``duplicate_content``."""
+    groups = duplicate_content(spark, sf_dir).select("content_md5", F.col("lang").alias("of"), "first_doc")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", fingerprint("text").alias("content_md5"))
+    return rows.join(groups.withColumnRenamed("content_md5", "md5"), (F.col("content_md5") == F.col("md5")) & F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", "content_md5", "first_doc")
 
 
 @query(
@@ -166,7 +175,7 @@ def repeated_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and chapters by their first position."""
     rows = table(spark, sf_dir, "documents").groupBy("source", "lang")
-    return rows.agg(F.min("doc_id").alias("first_position"), F.max("doc_id").alias("last_position"), F.count("*").alias("sections")).orderBy("source", "first_position")
+    return rows.agg(F.min("doc_id").alias("first_position"), F.max("doc_id").alias("last_position"), F.count("*").alias("sections"))
 
 
 @query(
@@ -198,7 +207,7 @@ def extraction_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short first and last lines that pages share."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     edges = F.array_distinct(F.concat(F.slice("ls", 1, 3), F.slice("ls", F.greatest(F.size("ls") - 2, F.lit(1)), 3)))
     rows = table(spark, sf_dir, "documents").select(lines.alias("ls")).select(F.explode(edges).alias("line")).filter(F.length("line").between(3, 90))
     return rows.groupBy("line").agg(F.count("*").alias("pages")).filter("pages >= 5")

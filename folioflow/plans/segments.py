@@ -159,12 +159,12 @@ def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "book_index",
-    "SELECT r_name AS part, n_name AS chapter, list_sort(list(s_suppkey)) AS sections FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2",
+    "SELECT r_name AS part, n_name AS chapter, s_suppkey AS section FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
 )
 def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections by part and chapter."""
+    """Each section with its part and chapter; ``reading_index`` numbers them."""
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return rows.groupBy(F.col("r_name").alias("part"), F.col("n_name").alias("chapter")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("sections"))
+    return rows.select(F.col("r_name").alias("part"), F.col("n_name").alias("chapter"), F.col("s_suppkey").alias("section"))
 
 
 TREE_SQL = "t AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, CASE WHEN turn > 0 THEN CAST(conv_id * 1000 + floor((turn - 1) / 2) AS BIGINT) END AS parent FROM conversations)"
