@@ -5,9 +5,10 @@ rows (``SAMPLE``, by a hash of the doc_id): each statistic is cut into at most `
 summed by range, and a node takes the split with the largest gain. All trees have one depth and lie in flat
 arrays, node k above nodes 2k + 1 and 2k + 2, so that a batch of rows goes down all trees at once.
 
-Defined results: a null or empty text has statistics of zero; labels that are null, or of no document, are not
+Defined results: a null or empty text has statistics of zero; labels that are null, other than 0 and 1, or of no document, are not
 used; a doc_id with several labels is used with each; without training rows the score is 0, with rows of one
-class it is near that class; repeated rows have equal scores.
+class it is near that class; repeated rows and ties of statistics have equal scores; a text of any length is measured whole; an empty
+table gives an empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:
     """Fitted on the statistics of at most ``most`` labelled rows that are not held out."""
     scratch.send_code(docs.sparkSession)
-    sample = labelled_sample(labels.filter(~is_held_out(mod=5, rest=0)), "quality", most)
+    sample = labelled_sample(labels.filter(~is_held_out(mod=5, rest=0)), "quality", most).filter("label_ IN (0, 1)")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label_").mapInArrow(_measured, "label_ int, stats array<double>").toArrow()
     y = rows.column("label_").to_numpy().astype(float)
     x = np.array(rows.column("stats").to_pylist(), float).reshape(len(y), len(statistics("")))

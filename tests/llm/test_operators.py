@@ -394,6 +394,14 @@ def test_quality(spark, labelled):
     assert right(got, {k: q for k, (q, _) in labels.items()}) > 0.95
     docs, marks = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     assert all(r.score < 1e-9 for r in quality.scores(docs, quality.train(docs, marks.limit(0))).collect())
+    odd = marks.unionByName(docs.select("doc_id", F.lit(2).alias("quality"), F.lit(None).cast("int").alias("toxic")))
+    clash = docs.drop("score").withColumns({c: F.lit(7) for c in ("stats", "label_", "quality", "predicted")})
+    forest = quality.train(clash, odd)
+    same = {(r.doc_id, r.score) for r in quality.scores(clash, forest).collect()}
+    assert same == {(r.doc_id, r.score) for r in got}
+    assert quality.scores(docs.limit(0), forest).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000)], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in quality.scores(long, forest).collect())
 
 
 def test_forest_is_what_its_trees_say():
