@@ -167,9 +167,9 @@ def _candidates(titles: DataFrame, pages: DataFrame, rules: Rules, room: scratch
     wide = lambda rows: rows.join(asked, ["id", "work"]).join(texts, BLOCK)
     place = F.row_number().over(W.partitionBy("id", "work").orderBy(F.desc("most"), "page", "start_line"))
     ranked = bounded.withColumn("place", place)
-    first = room.stage(_scored(wide(ranked.filter(F.col("place") <= 2 * rules.candidates)), rules), "first")
+    first = room.stage(_scored(wide(ranked.filter(F.col("place") <= rules.candidates)), rules), "first")
     least = room.stage(_last(first, rules), "least")
-    rest = ranked.filter(F.col("place") > 2 * rules.candidates).join(least, ["id", "work"], "left").filter(F.col("lowest").isNull() | (F.col("most") >= F.col("lowest") - MARGIN))
+    rest = ranked.filter(F.col("place") > rules.candidates).join(least, ["id", "work"], "left").filter(F.col("lowest").isNull() | (F.col("most") >= F.col("lowest") - MARGIN))
     second = room.stage(first.unionByName(_scored(wide(rest), rules)), "second")
 
     # without a common word a block has its characters and its kind, and may hold the whole title within a word
