@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import ngram_join, periodic_runs, phrases
+from folioflow.llm import ngram_join, periodic_runs, phrases, sharding
 from folioflow.llm.near_dedup import FIVE_WORDS, Measure
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -301,3 +301,18 @@ def test_sql_gives_the_same_rows(spark, data, module):
     names = [c[0] for c in want.description]
     got = getattr(module, query)(spark, data).select(names)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_slot_map_equals_a_fold(spark):
+    """The largest slot that is left goes to the shard with the fewest bytes, one after the other; ties go to lower numbers."""
+    rng = random.Random(4)
+    own = {slot: rng.choice([0, 16, 16, 300, rng.randint(1, 10**6)]) for slot in rng.sample(range(512), 400)}
+    sizes = spark.createDataFrame([(s, b, 1) for s, b in own.items()], "virtual_slot int, bytes long, rows long")
+    loads, want = [0] * 7, {}
+    for slot in sorted(range(512), key=lambda s: (-own.get(s, 0), s)):
+        shard = loads.index(min(loads))
+        loads[shard] += max(own.get(slot, 0), 1)
+        want[slot] = shard
+    assert {r.virtual_slot: r.shard for r in sharding.balanced_map(sizes, 7, 512).collect()} == want
+    grown = {r.virtual_slot: r.shard for r in sharding.grown_map(sharding.balanced_map(sizes, 7, 512), sizes, 7).collect()}
+    assert all(grown[s] in (want[s], 7) for s in want) and 7 in grown.values()
