@@ -52,7 +52,7 @@ TRAINED_BYTES, DICTIONARY_BYTES, SAMPLES_PER_BYTE = 4 << 20, 256 << 10, 3
 #: Bytes of the segments that the trainer picks, and of what it counts in them.
 SEGMENT, COUNTED = 16, 6
 #: Blank bytes in front of a dictionary: they make its hash table sparse, so that entries don't displace each other.
-BLANK = 3 * 170_000
+BLANK = 3 * 80_000
 #: What both dictionaries of a pair end with and every window begins with.
 PHRASE = b" zqzqzq qzqzqz "
 #: A trained dictionary's content follows its three first offsets, 1, 4 and 8.
