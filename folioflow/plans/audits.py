@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.catalog import query
 from folioflow.functions.text import blank_to_null, fingerprint, words
@@ -18,6 +18,11 @@ def word_count():
     return F.size(words("text")).cast("long")
 
 
+def all_sorted(column: str) -> Column:
+    """All values of a group in ascending order, nulls last."""
+    return F.concat(F.sort_array(F.collect_list(column)), F.array_repeat(F.lit(None), F.count_if(F.col(column).isNull()).cast("int")))
+
+
 @query(
     "inventory_by_source",
     f"""
@@ -136,12 +141,15 @@ def paragraph_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTENT = r"lower(regexp_replace(trim(text), '\s+', ' ', 'g'))"
 
 
-@query("duplicate_content", f"SELECT md5({CONTENT}) AS content_md5, lang, count(*) AS copies, min(doc_id) AS first_doc, min(left({CONTENT}, 80)) AS preview FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
+@query(
+    "duplicate_content",
+    f"SELECT md5({CONTENT}) AS content_md5, lang, count(*) AS copies, list_sort(list(doc_id)) AS doc_ids, min(doc_id) AS first_doc, min(left({CONTENT}, 80)) AS preview FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
+)
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents that several sections have, with the first of them; ``duplicate_members`` has all."""
+    """Contents that several sections have, with all of those; ``duplicate_members`` has them a row each."""
     start = F.left(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")), F.lit(80))
     rows = table(spark, sf_dir, "documents").groupBy(fingerprint("text").alias("content_md5"), "lang")
-    return rows.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(start).alias("preview")).filter("copies > 1")
+    return rows.agg(F.count("*").alias("copies"), all_sorted("doc_id").alias("doc_ids"), F.min("doc_id").alias("first_doc"), F.min(start).alias("preview")).filter("copies > 1")
 
 
 @query(
