@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.catalog import query
 from folioflow.functions.text import short_hash
-from folioflow.plans.audits import WORDS_SQL, size_band, word_count
+from folioflow.plans.audits import WORDS_SQL, all_sorted, size_band, word_count
 from folioflow.scratch import table
 
 KEY_SQL = "left(sha256(concat_ws('|', 'run', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))), 24)"
@@ -159,12 +159,12 @@ def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "book_index",
-    "SELECT r_name AS part, n_name AS chapter, s_suppkey AS section FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
+    "SELECT r_name AS part, n_name AS chapter, list_sort(list(s_suppkey)) AS sections FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2",
 )
 def book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each section with its part and chapter; ``reading_index`` numbers them."""
+    """All sections by part and chapter; ``reading_index`` numbers sections, a row each."""
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return rows.select(F.col("r_name").alias("part"), F.col("n_name").alias("chapter"), F.col("s_suppkey").alias("section"))
+    return rows.groupBy(F.col("r_name").alias("part"), F.col("n_name").alias("chapter")).agg(all_sorted("s_suppkey").alias("sections"))
 
 
 TREE_SQL = "t AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, CASE WHEN turn > 0 THEN CAST(conv_id * 1000 + floor((turn - 1) / 2) AS BIGINT) END AS parent FROM conversations)"
