@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from folioflow.catalog import query
 from folioflow.operators.lifecycle import drift
+from folioflow.plans.audits import all_sorted
 from folioflow.plans.segments import REASONS_SQL, reasons
 from folioflow.scratch import table
 
@@ -329,13 +330,17 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "decisions_by_key",
-    "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(first_status, 'none') AS first_status, coalesce(first, -1) AS first, coalesce(last, -1) AS last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_min(o_orderstatus, o_orderkey) AS first_status, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+    "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(first_status, 'none') AS first_status, coalesce(members, []) AS members, coalesce(first, -1) AS first, coalesce(last, -1) AS last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_min(o_orderstatus, o_orderkey) AS first_status, list(o_orderkey ORDER BY o_orderkey) AS members, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey",
 )
 def decisions_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many decisions each key has, the first and the last (-1 without any), and the first one's status."""
-    of = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.min_by("o_orderstatus", "o_orderkey").alias("first_status"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    """The decisions of each key in order, the first and the last (-1 without any), and the first status; keys without any stay."""
+    known = F.when(F.col("o_orderstatus").isNotNull(), F.col("o_orderkey"))
+    of = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n"), F.min_by("o_orderstatus", known).alias("first_status"), all_sorted("o_orderkey").alias("members"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
+    )
     rows = table(spark, sf_dir, "customer").select("c_custkey").join(of, "c_custkey", "left")
-    return rows.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_status", F.lit("none")).alias("first_status"), F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-1)).alias("last"))
+    members = F.coalesce("members", F.array().cast("array<bigint>"))
+    return rows.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_status", F.lit("none")).alias("first_status"), members.alias("members"), F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-1)).alias("last"))
 
 
 @query(

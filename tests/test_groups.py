@@ -27,7 +27,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize(("name", "members", "count"), [("duplicate_content", "doc_ids", 4 + 2 + 2 + 4900), ("book_index", "sections", 500 * 4 + 3)])
+@pytest.mark.parametrize(("name", "members", "count"), [("duplicate_content", "doc_ids", 4 + 2 + 2 + 4900), ("book_index", "sections", 500 * 4 + 3), ("decisions_by_key", "members", 5004 + 1)])
 def test_groups_have_all_members(spark, odd, name, members, count):
     con = duckdb.connect()
     for t in TABLES:
