@@ -37,66 +37,114 @@ DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
 #: Words that a worker remembers, and bytes of text that it takes together.
-REMEMBERED = 800_000
-SLICE_BYTES = 16 << 20
+REMEMBERED = 400_000
+SLICE_BYTES = 12 << 20
+
+
+#: A word of Latin-1 letters, and ASCII signs after it. No apostrophe: the library splits some of those off with letters.
+WORD = "^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
+#: Words that the library's model gets in one text, such texts that it gets at once (it holds some 100 bytes for each id), and words whose
+#: ids are put together at once.
+JOINED, LINES, TOGETHER = 500, 8, 100_000
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``values[f : f + k]`` for each ``f`` of ``first`` and ``k`` of ``n``, end to end."""
+    ends = np.cumsum(n)
+    return values[np.repeat(first - ends + n, n) + np.arange(ends[-1])] if len(n) else values[:0]
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
 
 
 class Encoder:
     """Ids of texts, as arrays of 32-bit integers.
 
     This vocabulary's library normalises and splits text at white space first, so the ids of a text are those of
-    its parts between white space; each distinct part is encoded by the library once and remembered. A
-    trailing stop or comma after a letter, and upper case of Latin-1 letters, are split off and folded as the
-    library does, so that fewer parts differ. A word of lower-case Latin-1 letters goes to the library's model
-    at once: normaliser and splitter would leave it as it is. A text that holds an added token of the vocabulary, which the
+    its parts between white space; each distinct part of a slice is encoded by the library once. Parts are remembered as rows
+    of ``first`` and ``length``, which are places in ``ids``; when they are too many, those of the present slice stay.
+
+    A part that is letters and signs is split into both, and letters are folded, as the library does, so that fewer
+    differ. Such letters are what the library's model would get from normaliser and splitter, so many go to it in one text, an end
+    of line apart; the model says by its suffix which ids end a word. A text that holds an added token of the vocabulary, which the
     library finds before it splits, goes to the library whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
-        self.as_bytes = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in letters}
-        self.plain = frozenset(letters)
+        self.words = self._word_library(path)
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[k for t, k in self.library.get_vocab(False).items() if t.endswith("</w>")]] = True
+        self._forget()
 
     @staticmethod
-    def _split(part: str) -> tuple[str, str]:
-        """The part folded, and a stop or comma after its last letter."""
-        tail = part[-1] if part[-1:] in ".," and part[-2:-1].isalpha() and part[-2] < "Ā" else ""
-        stem = part[: len(part) - len(tail)]
-        return (stem.lower() if stem.isalpha() and max(stem) < "Ā" else stem), tail
-
-    def _learn(self, stems: list[str]) -> None:
-        model, known = self.library.model, self.known
-        others = []
-        for s in stems:
-            if self.plain.issuperset(s):
-                known[s] = np.array([t.id for t in model.tokenize(s.translate(self.as_bytes))], "<u4").tobytes()
-            else:
-                others.append(s)
-        for k in range(0, len(others), 4096):
-            group = others[k : k + 4096]
-            for s, x in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                known[s] = np.array(x.ids, "<u4").tobytes()
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) + len(parts) > REMEMBERED:
-            known.clear()
-        if missing := [p for p in parts if p not in known]:
-            split = {p: self._split(p) for p in missing}
-            stems = {s for s, _ in split.values()} | {".", ","}
-            self._learn([s for s in stems if s not in known])
-            tails = {"": b"", ".": known["."], ",": known[","]}
-            known.update((p, known[s] + tails[t]) for p, (s, t) in split.items())
-        return list(map(known.__getitem__, parts))
+    def _word_library(path: str):
+        """The library with the same model, for lower-case words an end of line apart."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        words = Tokenizer.from_file(path)
+        words.encode_special_tokens = True
+        words.normalizer = normalizers.Sequence([])
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return words
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _remember(self, parts: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.first = np.concatenate([self.first, _starts(length) + len(self.ids)])
+        self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, ids])
+
+    def _by_library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for k in range(0, len(parts), 4096) for x in self.library.encode_batch_fast(parts[k : k + 4096], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def _by_model(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = ["\n".join(stems[k : k + JOINED]) for k in range(0, len(stems), JOINED)]
+        found = (x for k in range(0, len(lines), LINES) for x in self.words.encode_batch_fast(lines[k : k + LINES], add_special_tokens=False))
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for x in found)])
+        length = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return (ids, length) if len(length) == len(stems) and length.sum() == len(ids) else self._by_library(stems)
+
+    def _learn(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, end to end, and how many each has."""
+        split = pc.extract_regex(parts, WORD)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(split.filter(pa.array(plain)).field("stem")).dictionary_encode()
+        tails = split.filter(pa.array(plain)).field("tail").dictionary_encode()
+        kinds = [self._by_model(stems.dictionary.to_pylist()), self._by_library([*tails.dictionary.to_pylist(), ""]), self._by_library(parts.filter(pa.array(~plain)).to_pylist())]
+        length = np.concatenate([n for _, n in kinds])
+        base = np.cumsum([0, *(len(n) for _, n in kinds)])
+        two = np.full((len(parts), 2), base[2] - 1)  # the second of a part that isn't plain: nothing
+        two[plain, 0], two[plain, 1] = stems.indices.to_numpy(), base[1] + tails.indices.to_numpy()
+        two[~plain, 0] = base[2] + np.arange(len(parts) - plain.sum())
+        return _gathered(np.concatenate([ids for ids, _ in kinds]), _starts(length)[two.ravel()], length[two.ravel()]), length[two].sum(axis=1)
+
+    def _parts(self, parts: pa.Array) -> np.ndarray:
+        """The row of each of these distinct parts."""
+        words = parts.to_pylist()
+        rows = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(self.known) + len(missing) > REMEMBERED:
+            held = np.flatnonzero(rows >= 0)
+            length = self.length[rows[held]]
+            ids = _gathered(self.ids, self.first[rows[held]], length)
+            self._forget()
+            self._remember([words[k] for k in held], ids, length)
+            rows[held] = np.arange(len(held))
+        if len(missing):
+            rows[missing] = np.arange(len(missing)) + len(self.known)
+            self._remember([words[k] for k in missing], *self._learn(parts.take(pa.array(missing))))
+        return rows
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """In slices of some MB of text, so that parts and their ids are joined by arrays."""
@@ -114,21 +162,24 @@ class Encoder:
         bounds = bounds - bounds[0]
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        ids = self._parts(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(length) - length
-        every = np.frombuffer(b"".join(ids), "<u4")
+        rows = self._parts(coded.dictionary)
+        first, length, every = self.first[rows], self.length[rows], self.ids
         special = np.zeros(len(texts), bool)
         for token in self.added:
             special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if special[k]:
-                yield np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
-                continue
-            own = codes[a:b]
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TOGETHER, "right")) - 1)
+            own = codes[bounds[at] : bounds[end]]
             n = length[own]
-            ends = np.cumsum(n)
-            yield every[np.repeat(first[own] - ends + n, n) + np.arange(ends[-1])] if len(own) else every[:0]
+            ids = _gathered(every, first[own], n)
+            places = np.concatenate([[0], np.cumsum(n)])[bounds[at : end + 1] - bounds[at]]
+            for k in range(at, end):
+                if special[k]:
+                    yield np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+                else:
+                    yield ids[places[k - at] : places[k - at + 1]]
+            at = end
 
 
 _encoders: dict[str, Encoder] = {}
