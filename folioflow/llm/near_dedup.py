@@ -12,8 +12,8 @@ r"""Near-duplicate documents by HyperMinHash, confirmed on whole shingle sets.
    collisions and with a margin of six standard deviations, and confirms the rest on the whole sets.
 5. Documents of groups that are still unconnected are compared exactly. Of the shingles of each, rarest first, only a
    prefix must be looked at: two sets with the similarity asked for share one of it. Documents that share one make
-   a family, so what is common to many documents joins none. A family is cut into blocks of bounded size, and every
-   two blocks are compared within a task; only links leave it.
+   a family, so what is common to many documents joins none. A family is cut into blocks of bounded size, and two
+   blocks are compared within a task, with those documents of each that share a prefix shingle with the other; only links leave it.
 6. Components are found by joins (``graph.components``).
 
 Texts are read twice, for sketches and for the sets of documents that share a key, and never shuffled: a bitmap of fixed
@@ -267,31 +267,43 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: Measure, counts: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(shingles))], ["node", "shingle"])
 
 
-def _families(rest: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
-    """``(node, component)`` of ``rest(node, part)`` that share a rare shingle with a document of another part."""
+def _shared_prefixes(rest: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
+    """``(shingle, first, node, n_shingles, part)``: documents of ``rest`` by the rare shingles that they share with one of another part; first is the least of them."""
     slots = sets.select(F.explode("hashes").alias("h")).select(F.pmod("h", F.lit(COUNTERS)).alias("slot"))
     counts = np.zeros(COUNTERS, np.int64)
     seen = slots.groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # at most COUNTERS rows
     counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
     sent = rest.sparkSession.sparkContext.broadcast(counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-    found = room.stage(sets.mapInArrow(lambda it: _prefixes(it, how, sent.value), "node long, shingle long"), "prefixes").join(rest.select("node", "part"), "node")
+    found = room.stage(sets.mapInArrow(lambda it: _prefixes(it, how, sent.value), "node long, shingle long"), "prefixes").join(rest.select("node", "n_shingles", "part"), "node")
     found = room.stage(found, "prefix-parts")
     shared = found.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("shingle", "first")
-    shared = room.stage(shared, "prefix-groups")
-    return components(found.join(shared, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    return room.stage(found.join(room.stage(shared, "prefix-groups"), "shingle"), "shared-prefixes")
+
+
+def _reached(prefixes: DataFrame, placed: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
+    """``(node, other)``: the blocks in which a document of another part, and of a size that fits, has one of the node's prefix shingles.
+
+    Both documents of any link reach each other's block, and a set is sent to no other blocks.
+    """
+    rows = room.stage(prefixes.select("shingle", "node", "n_shingles", "part").join(placed.select("node", "own").distinct(), "node"), "placed-prefixes")
+    there = rows.groupBy("shingle", F.col("own").alias("other")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    met = rows.join(room.stage(there, "shingle-blocks"), "shingle").filter(f"(lo <> part OR hi <> part) AND 100 * n_shingles >= {how.percent} * least AND 100 * most >= {how.percent} * n_shingles")
+    return room.stage(met.select("node", "other").distinct(), "reached")
 
 
 def _within_families(rest: DataFrame, sets: DataFrame, how: Measure, room: scratch.Room) -> DataFrame:
     """Links between documents of ``rest(node, n_shingles, part)``, which are not yet connected."""
     sets = room.stage(sets.join(rest.select("node"), "node", "left_semi"), "open-sets")
-    family = _families(rest, sets, how, room)
+    prefixes = _shared_prefixes(rest, sets, how, room)
+    family = components(prefixes.select(F.col("node").alias("a"), F.col("first").alias("b")))
     nodes = rest.join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
     nodes = room.stage(nodes, "families")
     size = F.sum("n_shingles")
     count = F.greatest(F.least(F.ceil(size / SPREAD), F.lit(BLOCKS)), F.ceil(size / BLOCK), F.ceil(F.count("*") / ROWS), F.lit(1)).cast("int")
     blocks = room.stage(nodes.groupBy("family").agg(count.alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("family", "blocks"), "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cut = nodes.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = room.stage(nodes.join(blocks, "family").withColumn("own", own), "placed")
+    cut = placed.join(_reached(prefixes, placed, how, room), "node")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     cut = cut.select("node", "part", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"))
     return cut.join(sets, "node").groupBy("family", "x", "y").applyInArrow(lambda t: _compared(t, how), "a long, b long").distinct()

@@ -1,8 +1,12 @@
 """Costs and results of the operators at the size of a corpus of many different words."""
 
+import random
+
 import pyarrow as pa
+import pytest
 
-from folioflow.llm import token_output
+from folioflow import scratch
+from folioflow.llm import near_dedup, token_output
 
 
 def test_encoder_keeps_words_that_occur_again(monkeypatch):
@@ -28,3 +32,39 @@ def test_words_with_signs_and_odd_letters(monkeypatch):
         monkeypatch.setattr(token_output, "TOGETHER", remembered)
         assert [x.tolist() for x in e.encode(pa.array(texts))] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert list(e.encode(pa.array([], pa.string()))) == [] and [len(x) for x in e.encode(pa.array([None], pa.string()))] == [0]
+
+
+@pytest.mark.parametrize("ids", [range(60), [k // 2 for k in range(60)]])
+def test_sets_go_to_blocks_that_share_a_prefix(spark, monkeypatch, ids):
+    """A chain of texts that differ by few words or by more: one family in many blocks, of which each text meets a few. Ids may have two texts."""
+    rng, stage, sent = random.Random(5), scratch.Room.stage, {}
+
+    def counted(self, df, name):
+        sent[name] = (out := stage(self, df, name)).count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "SPREAD", 16)
+    monkeypatch.setattr(scratch.Room, "stage", counted)
+    words, rows, sets, at = [f"w{k}" for k in range(60)], [], {}, 0
+    for k, i in enumerate(ids):
+        text = " ".join(words)
+        rows.append((i, text))
+        sets.setdefault(i, []).append({tuple(words[j : j + 3]) for j in range(58)})
+        for _ in range(2 if rng.random() < 0.7 else 1):
+            words[at % 60] = f"changed{k}x{at}"
+            at += 7
+    component = {i: i for i in sets}
+
+    def find(x):
+        while component[x] != x:
+            x = component[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((find(a), find(b)))
+                component[y] = x
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert 0 < sent["reached"] < sent["placed"] * near_dedup.BLOCKS / 2
