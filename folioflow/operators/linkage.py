@@ -2,7 +2,8 @@
 
 All pairs of a block are candidates. Both sides are cut into bounded chunks by a hash, and each pair of chunks is one row
 of work. What a pair can score at most, by the longest common subsequence and the shared words of the folded titles,
-is computed for a chunk at once; only pairs that can still count are scored.
+is computed for a chunk at once; only pairs that can still count are scored. Where only the best right row of each left one
+is asked for and titles alone count, titles that fold alike are looked for once.
 
 Pairs are ordered by falling score, title score and label score, then by ``a``, ``ord`` and ``b``.
 """
@@ -16,14 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from folioflow.functions.matching import ratios
 from folioflow.functions.similarity import folded_similarity, title_likeness
-from folioflow.functions.text import fold_title
+from folioflow.functions.text import fold_title, normalised
 from folioflow.scratch import send_code, stage
 
 MATCH, ASSIGN = 0.82, 0.58
 #: Of title, label and division of a chapter.
 WEIGHTS = (0.72, 0.18, 0.10)
 LEFT_CHUNK, RIGHT_CHUNK = 256, 1024
+#: Candidates of a left row that are scored one by one, the most likely first; then twice as many each time.
+SINGLE = 4
+#: Tasks for each core that chunks are dealt to.
+WORK = 4
 CODES = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
 #: Scores are compared after rounding to six digits.
 ROUNDING = 1e-6
@@ -109,10 +115,80 @@ def _scored(batches: Iterator[pa.RecordBatch], least: float, best: bool, weighte
             yield pa.RecordBatch.from_pylist([{n: p[n] for n in kinds.names} for p in found], kinds)
 
 
-def _chunks(rows: DataFrame, key: str, size: int, block: str, name: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-rows.count() // size))
+def _similarities(lefts: list[str], rights: list[str]) -> np.ndarray:
+    """``folded_similarity`` of each two titles, rounded."""
+    out = ratios(lefts, rights)
+    for k, (x, y) in enumerate(zip(lefts, rights, strict=True)):
+        if not x or not y:
+            out[k] = 0.0
+        elif x != y:
+            s, t = set(x.split()), set(y.split())
+            out[k] = max(len(s & t) / len(s | t), out[k])
+    return np.round(out, 6)
+
+
+def _first(lefts: list[str], rights: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each left title the best score of ``least`` or more and the first right title that has it; -1 without any.
+
+    A title is done when nothing that is left can score more, or as much and come first.
+    """
+    most = np.ascontiguousarray(np.round(title_bounds(lefts, rights), 6).T)
+    most[most < least] = -1.0
+    best, at = np.full(len(lefts), -1.0), np.full(len(lefts), -1)
+    opened, rounds = np.arange(len(lefts)), 0
+    while len(opened):
+        rest = most[opened]
+        place = rest.argmax(axis=1)
+        top = rest[np.arange(len(opened)), place]
+        live = (top >= 0) & ((top > best[opened]) | (top == best[opened]) & (place < at[opened]))
+        opened, rest, place = opened[live], rest[live], place[live]
+        if rounds < SINGLE:
+            k, j = opened, place
+        else:
+            n = min(2 ** (rounds - SINGLE + 1), len(rights))
+            chosen = np.argpartition(-rest, n - 1, axis=1)[:, :n]
+            rows, columns = np.nonzero(np.take_along_axis(rest, chosen, 1) >= np.maximum(best[opened], 0)[:, None])
+            k, j = opened[rows], chosen[rows, columns]
+        rounds += 1
+        scores = _similarities([lefts[x] for x in k], [rights[y] for y in j])
+        most[k, j] = -1.0
+        order = np.lexsort((j, -scores, k))
+        k, j, scores = k[order], j[order], scores[order]
+        head = np.flatnonzero(np.diff(k, prepend=-1))
+        k, j, scores = k[head], j[head], scores[head]
+        better = (scores >= least) & ((scores > best[k]) | (scores == best[k]) & (j < at[k]))
+        best[k[better]], at[k[better]] = scores[better], j[better]
+    return best, at
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], least: float, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            rights = sorted(row["rights"], key=lambda r: (r["ord"], r["b"]))
+            lefts = [r["folded"] for r in row["lefts"]]
+            best, at = _first(lefts, [r["folded"] for r in rights], least)
+            found = [{**rights[at[k]], "block": row["block"], "folded": lefts[k], "score": float(best[k])} for k in np.flatnonzero(at >= 0)]
+            yield pa.RecordBatch.from_pylist([{n: p[n] for n in kinds.names} for p in found], kinds)
+
+
+def _chunks(rows: DataFrame, key: str, size: int, block: str, name: str) -> DataFrame:
+    """Rows of each block in as many chunks as it needs."""
+    cuts = rows.groupBy(F.col(block).alias("block_")).agg(F.ceil(F.count("*") / size).alias("cuts_"))
     fields = F.struct(*(c for c in rows.columns if c != block))
-    return rows.groupBy(F.col(block).alias("block"), F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_chunk")).agg(F.collect_list(fields).alias(name)), n
+    placed = rows.withColumn("row_", fields).join(cuts, F.col(block) == F.col("block_")).withColumn("chunk_", F.pmod(F.xxhash64(key), F.col("cuts_")))
+    return placed.groupBy(F.col(block).alias("block"), "chunk_").agg(F.collect_list("row_").alias(name)).drop("chunk_")
+
+
+def _work(left: DataFrame, right: DataFrame, block: str, a: str, b: str) -> DataFrame:
+    """``(block, lefts, rights)``: each two chunks of a block."""
+    x, y = _chunks(left, a, LEFT_CHUNK, block, "lefts"), _chunks(right, b, RIGHT_CHUNK, block, "rights")
+    return x.join(y, "block").select("block", "lefts", "rights").repartition(left.sparkSession.sparkContext.defaultParallelism * WORK)
+
+
+def _kinds(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
 
 def _key() -> Column:
@@ -126,14 +202,10 @@ def _search(left: DataFrame, right: DataFrame, block: str, least: float, best: b
     a, b, ord_ = left.schema["a"].dataType.simpleString(), right.schema["b"].dataType.simpleString(), right.schema["ord"].dataType.simpleString()
     none = F.lit(None).cast(f"struct<score:double,title:double,label:double,a:{a},ord:{ord_},b:{b}>")
     right = right.withColumn("held", none) if held is None else right.join(held.select(F.col("block").alias(block), "b", F.col("key").alias("held")), [block, "b"], "left")
-    x, n = _chunks(left, "a", LEFT_CHUNK, block, "lefts")
-    y, m = _chunks(right, "b", RIGHT_CHUNK, block, "rights")
-    work = x.join(y, "block").select("block", "lefts", "rights").repartition(min(n * m, 1024))
+    work = _work(left, right, block, "a", "b")
     kind = left.schema[block].dataType.simpleString()
     schema = f"block {kind}, a {a}, a_title string, b {b}, b_title string, ord {ord_}, score double, title_score double, label_score double"
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kinds = to_arrow_schema(left.sparkSession.createDataFrame([], schema).schema)
+    kinds = _kinds(left.sparkSession, schema)
     return work.mapInArrow(lambda it: _scored(it, least, best, weighted, kinds), schema)
 
 
@@ -147,13 +219,26 @@ def scored_pairs(left: DataFrame, right: DataFrame, block: str, least: float = 0
 
 def best_match(pairs: DataFrame, threshold: float = MATCH) -> DataFrame:
     """The best right row of each left row; the first in order on ties; none below the threshold."""
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "ord"))
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "ord", "b"))
     return pairs.filter(F.col("score") >= threshold).withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
 def best_of_all(left: DataFrame, right: DataFrame, block: str, threshold: float = MATCH) -> DataFrame:
     """``best_match`` of all pairs, without a table of them."""
-    return best_match(_search(left, right, block, threshold, True), threshold).withColumnRenamed("block", block)
+    if {"a_label", "a_part"} <= set(left.columns) and {"b_label", "b_part"} <= set(right.columns):
+        return best_match(_search(left, right, block, threshold, True), threshold).withColumnRenamed("block", block)
+    send_code(left.sparkSession)
+    named = stage(left.select(F.col(block).alias("block"), "a", "a_title", normalised(fold_title, "a_title").alias("folded")).filter("block IS NOT NULL"), "left-titles")
+    heads = right.select(F.col(block).alias("block"), "b", "b_title", "ord", normalised(fold_title, "b_title").alias("folded")).filter("block IS NOT NULL")
+    heads = heads.groupBy("block", "folded").agg(F.min(F.struct("ord", "b", "b_title")).alias("m")).select("block", "folded", "m.*")
+    work = _work(named.select("block", "folded").distinct(), stage(heads, "right-titles"), "block", "folded", "folded")
+    kind, b, ord_ = left.schema[block].dataType.simpleString(), right.schema["b"].dataType.simpleString(), right.schema["ord"].dataType.simpleString()
+    schema = f"block {kind}, folded string, score double, ord {ord_}, b {b}, b_title string"
+    kinds = _kinds(left.sparkSession, schema)
+    found = work.mapInArrow(lambda it: _firsts(it, threshold, kinds), schema)
+    first = found.groupBy("block", "folded").agg(F.min(F.struct((-F.col("score")).alias("less"), "ord", "b", "b_title")).alias("m"))
+    first = stage(first.select("block", "folded", "m.b", "m.b_title", "m.ord", (-F.col("m.less")).alias("score")), "best-titles")
+    return best_match(named.join(first, ["block", "folded"]).drop("folded"), threshold).withColumnRenamed("block", block)
 
 
 def _assigned(offers: Callable[[DataFrame | None, DataFrame | None], DataFrame]) -> DataFrame:
