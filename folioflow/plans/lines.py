@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.catalog import query
-from folioflow.functions.similarity import coverage, jaccard, ordered_coverage, uppercase_share
+from folioflow.functions.similarity import ordered_coverage, uppercase_share
 from folioflow.functions.text import normalised, search_text as search_form
+from folioflow.operators.coverage import covered_lines
 from folioflow.operators.linkage import best_of_all, one_to_one_of_all
 from folioflow.operators.outline import outline
-from folioflow.scratch import table
+from folioflow.scratch import stage, table
 
 LINES_SQL = "l AS (SELECT doc_id, CAST(i AS INTEGER) AS line, ls[i + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"
 
@@ -98,21 +101,14 @@ LEAST_COVERED = 0.5
 
 
 def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(item_id, doc_id, line, covered, jaccard)``: the best line of each document that has half of a title's words.
-
-    A line without any of a title's rarest words, as many as leave fewer than half of its words, can't have half of them, so
-    only lines that share one of these are compared.
-    """
-    found = lines(spark, sf_dir).select("doc_id", "line", F.array_distinct(tokens("text")).alias("found")).filter(F.size("found") > 0)
+    """``(item_id, doc_id, line, covered, jaccard)``: the best line of each document that has half of a title's words."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    found = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.array_distinct(tokens(x))).alias("found"))
     title = titles(spark, sf_dir).select("item_id", tokens("title").alias("expected")).filter(F.size("expected") > 0)
-    words = title.select("item_id", F.size("expected").alias("n"), F.explode("expected").alias("w")).groupBy("item_id", "n", "w").agg(F.count("*").alias("c"))
-    rarity = found.select(F.explode("found").alias("w")).join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("rows"))
-    behind = F.sum("c").over(W.partitionBy("item_id").orderBy(F.desc(F.coalesce("rows", F.lit(0))), "w"))
-    prefix = words.join(rarity, "w", "left").withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * LEAST_COVERED)
-    some = found.select("doc_id", "line", F.explode("found").alias("w")).join(prefix.select("item_id", "w"), "w").select("item_id", "doc_id", "line").distinct()
-    rows = some.join(title, "item_id").join(found, ["doc_id", "line"]).select("item_id", "doc_id", "line", coverage("expected", F.col("found")).alias("share"), F.round(jaccard("expected", "found"), 6).alias("jaccard"))
-    best = F.max(F.struct(F.round("share", 6).alias("covered"), "jaccard", (-F.col("line")).alias("less"))).alias("m")
-    return rows.filter(F.col("share") >= LEAST_COVERED).groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", (-F.col("m.less")).alias("line"), "m.covered", "m.jaccard")
+    rows = covered_lines(found, title, LEAST_COVERED)
+    covered, shared = F.round(F.col("hits") / F.col("n"), 6), F.round(F.col("common") / (F.col("own") + F.col("k") - F.col("common")), 6)
+    best = F.max(F.struct(covered.alias("covered"), shared.alias("jaccard"), (-F.col("line")).alias("less"))).alias("m")
+    return rows.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", (-F.col("m.less")).alias("line"), "m.covered", "m.jaccard")
 
 
 @query("token_coverage", f"WITH {PAIRS_SQL} SELECT item_id, doc_id, covered FROM p WHERE covered >= 0.5")
@@ -153,12 +149,20 @@ def unique_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.groupBy("item_id").agg(F.max(F.struct("covered", "ties")).alias("m")).select("item_id", F.col("m.covered").alias("most"), F.col("m.ties").alias("ties"))
 
 
+#: Anchors that are sent at once, about.
+ANCHORS = 1 << 16
+
+
 @query("ordered_anchors")
 def ordered_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a title's words follow each other in its best anchors."""
     w = W.partitionBy("item_id").orderBy(F.desc("covered"), F.desc("jaccard"), "doc_id")
-    best = anchor_pairs(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("item_id", "doc_id", "line")
-    rows = best.join(titles(spark, sf_dir), "item_id").join(lines(spark, sf_dir), ["doc_id", "line"])
+    best = stage(anchor_pairs(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("item_id", "doc_id", "line"), "best-anchors")
+    parts, named = max(1, -(-best.count() // ANCHORS)), best.join(titles(spark, sf_dir), "item_id")
+    text = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    # anchors are five for each title, and a bounded part of them is sent to the texts
+    every = [text.join(F.broadcast(named.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)), "doc_id") for k in range(parts)]
+    rows = reduce(DataFrame.unionByName, every).withColumn("text", F.get("lines", F.col("line"))).filter("text IS NOT NULL")
     return rows.select("item_id", "doc_id", F.round(ordered_coverage(tokens("title"), tokens("text")), 6).alias("ordered"))
 
 
