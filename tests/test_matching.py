@@ -5,9 +5,10 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from folioflow.functions.matching import ratios
-from folioflow.functions.similarity import folded_similarity
-from folioflow.operators import linkage
+from folioflow.functions.matching import Second, ratios
+from folioflow.functions.similarity import folded_similarity, opening_ratio, word_order_ratio
+from folioflow.functions.text import search_text
+from folioflow.operators import anchors, linkage
 
 
 def test_ratios_equal_difflib():
@@ -38,3 +39,34 @@ def test_chunks_fit_blocks(spark):
     assert linkage._work(rows, right, "block", "a", "b").count() == 20
     got = {r.a: (r.b, r.score) for r in linkage.best_of_all(rows, right, "block").collect()}
     assert got == {a: (a % 500 + 3500, 1.0) for a in range(4000)}
+
+
+def test_second_equals_difflib():
+    """Short and long second sequences, of characters and words, with and without what is popular."""
+    rng = random.Random(6)
+    for letters in ("ab", "abc é", "abcdefghijklmnopqrstuvwxyz 0123", "aaaaaaaaaabbbbbbbbcdefgz "):
+        for size in (0, 5, 199, 200, 500, 700):
+            b = "".join(rng.choice(letters) for _ in range(size))
+            for make in (str, lambda s: s.split()):
+                second = Second(make(b))
+                for _ in range(6):
+                    a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+                    if size > 100 and rng.random() < 0.5:
+                        a += b[40:70] + a[:5]
+                    assert second.ratio(make(a)) == SequenceMatcher(None, make(a), make(b)).ratio()
+
+
+def test_ratios_of_a_text_are_known_once(monkeypatch):
+    made = []
+
+    class Counted(Second):
+        def __init__(self, b):
+            made.append(len(b))
+            super().__init__(b)
+
+    monkeypatch.setattr(anchors, "Second", Counted)
+    texts = [search_text(f"Livro {k} da montanha " * 40) for k in range(3)]
+    titles = [search_text(f"Casa da montanha {k}") for k in range(20)]
+    pairs = [(t, x) for x in texts for t in titles]
+    got = anchors._ratios(*zip(*pairs, strict=True))
+    assert got == [(word_order_ratio(t, x), opening_ratio(t, x)) for t, x in pairs] and len(made) == 6
